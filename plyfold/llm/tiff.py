@@ -239,23 +239,24 @@ def feature(samples: np.ndarray) -> str:
 
 
 def pages(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row per page of every TIFF: (doc_id, page, width, height, channels, description, samples binary, feature, error).
+    """One row per page of every TIFF: (doc_id, page, width, height, channels, description, samples binary, feature, error, media_bytes, media_sha256).
 
     A null or unreadable file gives one row with page -1 and the reason in `error`.
     """
-    schema = "doc_id long, page int, width int, height int, channels int, description string, samples binary, feature string, error string"
+    schema = "doc_id long, page int, width int, height int, channels int, description string, samples binary, feature string, error string, media_bytes long, media_sha256 string"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         for b in batches:
             rows = []
-            for key, media in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for key, media, size, sha in zip(*(c.to_pylist() for c in b.columns)):
                 try:
-                    found = [(key, k, s.shape[1], s.shape[0], s.shape[2], note, s.tobytes(), feature(s), None) for k, (s, note) in enumerate(read(media or b""))]
+                    found = [(key, k, s.shape[1], s.shape[0], s.shape[2], note, s.tobytes(), feature(s), None, size, sha) for k, (s, note) in enumerate(read(media or b""))]
                 except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
-                    found = [(key, -1, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
+                    found = [(key, -1, None, None, None, None, None, None, f"{type(e).__name__}: {e}", size, sha)]
                 rows += found
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.string(), pa.string()]
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.string(), pa.string(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(run, schema)
+    src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media"), F.length(media_col).cast("long").alias("media_bytes"), F.sha2(F.col(media_col), 256).alias("media_sha256"))
+    return src.mapInArrow(run, schema)
