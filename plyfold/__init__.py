@@ -1,0 +1,14 @@
+"""Lossless compact encoding of tables, and analytics of how well they compress, as Spark plans."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to executors by value: they need no copy of the library there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+from .plans.advisor import analyze, auto_level, recommend  # noqa: E402
+from .plans.document import decode, decode_text, encode, encode_text  # noqa: E402
+from .streaming.stream import stream_decode, stream_encode  # noqa: E402
+
+__all__ = ["analyze", "auto_level", "decode", "decode_text", "encode", "encode_text", "recommend", "stream_decode", "stream_encode"]
