@@ -30,7 +30,7 @@ def documents(raw: DataFrame) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str, plan: Plan | None = None, strict: bool = True) -> DataFrame:
     """The table of all documents under a path; they share one plan."""
-    raw = spark.read.option("wholetext", True).text(path).filter("value <> ''")
+    raw = spark.read.text(path, wholetext=True).filter("value <> ''")
     if plan is None:
         first = raw.select(F.substring_index("value", "\n@N", 1).alias("head")).first()
         if first is None:
