@@ -69,7 +69,7 @@ def letters(key: str, text: str) -> str:
 
 def luhn(digits: str) -> str:
     """SQL for the Luhn sum of a digit string, modulo 10; 0 is valid."""
-    double = f"pmod(length({digits}) - i, 2) = 0"
+    double = f"pmod(length({digits}) - i, 2) = 1"
     value = f"cast(substr({digits}, i, 1) as int)"
     return f"aggregate(sequence(1, length({digits})), 0, (t, i) -> t + if({double}, {value} * 2 - if({value} > 4, 9, 0), {value})) % 10"
 
