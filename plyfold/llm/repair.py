@@ -27,10 +27,14 @@ class Encoder(dict):
 
     The vocabulary's pattern never joins a word to the white space after it. So a text without two white-space characters in a
     row, and none but space and line feed, is cut before each of these, and each piece is encoded once. Other texts go to the
-    tokenizer whole. A full stop or comma after a letter is a piece of its own.
+    tokenizer whole: such a piece is never remembered, so it is met as a missing one, and raises Odd. A full stop or comma after a
+    letter is a piece of its own.
     """
 
-    odd = re.compile(r"\s\s|[^\S \n]|\x00")
+    class Odd(Exception):
+        pass
+
+    space = re.compile(r"\s")
     most = 800_000
 
     def __init__(self, path: str):
@@ -55,6 +59,8 @@ class Encoder(dict):
 
     def __missing__(self, piece: str) -> bytes:
         lead = piece[:1]
+        if piece in ("", "\n") or self.space.search(piece, lead == "\n"):
+            raise self.Odd
         if len(piece) > 1 and piece[-1] in ",." and piece[-2].isalpha():
             ids = self[piece[:-1]] + self["\0" + piece[-1]]
         elif piece.isalpha():
@@ -67,12 +73,17 @@ class Encoder(dict):
         return ids
 
     def __call__(self, text: str) -> bytes:
-        if self.odd.search(text):
+        if "\0" in text:  # the mark of a first piece
             return self.whole(text)
         if len(self) > self.most:
             self.clear()
         first, *rest = text.replace("\n", " \n").split(" ")
-        return self["\0" + first] + b"".join(map(self.__getitem__, rest))
+        try:
+            if rest and rest[-1] in ("", "\n"):  # a text that ends with one white space
+                return self["\0" + first] + b"".join(map(self.__getitem__, rest[:-1])) + self.whole(rest[-1] or " ")
+            return self["\0" + first] + b"".join(map(self.__getitem__, rest))
+        except self.Odd:
+            return self.whole(text)
 
 
 def encoder(path: str) -> Encoder:
