@@ -7,6 +7,7 @@ one), and writes rows with Column expressions and windows. decode() follows the
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions import scalars
+from ..functions import inline, scalars
 from ..operators import deltas, dictionary, substrings, templates
 from ..operators.ordering import with_ordinal
 from .header import Header, hint, read_header
@@ -26,6 +27,7 @@ from .header import Header, hint, read_header
 EXACT = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 TEMPORAL = (T.TimestampType, T.TimestampNTZType, T.DateType)
 FLAT = (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType, T.BinaryType, *TEMPORAL)
+MARKS = re.compile(r'["\[{(]')
 
 
 @dataclass
@@ -47,7 +49,7 @@ class Plan:
 
     level: int
     schema: str  # JSON of the StructType
-    codecs: dict[str, str]  # column -> text | bool | number | delta | micros | days | json
+    codecs: dict[str, str]  # column -> text | bool | number | delta | micros | days | inline | json
     dictionary: list[str] = field(default_factory=list)
     templates: dict[str, list[str]] = field(default_factory=dict)  # column -> [prefix, suffix]
     fragments: list[str] = field(default_factory=list)
@@ -100,7 +102,7 @@ def make_plan(ordered: DataFrame, struct: T.StructType, o: Options) -> tuple[Pla
     codecs: dict[str, str] = {}
     for f in struct.fields:
         k = f.dataType
-        codecs[f.name] = "json" if not isinstance(k, FLAT) else "bool" if isinstance(k, T.BooleanType) else "text" if isinstance(k, (T.StringType, *TEMPORAL, T.BinaryType)) else "number"
+        codecs[f.name] = ("inline" if inline.supported(k) else "json") if not isinstance(k, FLAT) else "bool" if isinstance(k, T.BooleanType) else "text" if isinstance(k, (T.StringType, *TEMPORAL, T.BinaryType)) else "number"
     plan = Plan(o.level, struct.json(), codecs, name=name if o.level == 1 else "A")
     strings = [f.name for f in struct.fields if isinstance(f.dataType, T.StringType)]
     moving = {f.name: "temporal" if isinstance(f.dataType, TEMPORAL) else "numeric" for f in struct.fields if _can_delta(f.dataType)} if o.level == 3 else {}
@@ -142,6 +144,8 @@ def _cell(column: str, kind: T.DataType, plan: Plan) -> Column:
     null = "null" if plan.level == 1 else "-"
     if codec == "bool":
         out = v.cast("string") if plan.level == 1 else F.when(v, "1").otherwise("0")
+    elif codec == "inline":
+        out = inline.written(v, kind, inline.type_name(column))
     elif codec == "json":
         out = scalars.quoted(F.to_json(F.struct(v.alias("v")), {"ignoreNullFields": "false"}))
     elif isinstance(kind, T.StringType):
@@ -161,7 +165,7 @@ def encode(df: DataFrame, order_by: list[str] | str, options: Options | None = N
 
     With block_rows every block is a document of its own (its first row absolute, its own row count and checksum), so encoding
     and decoding run in parallel over blocks; without, the whole table is one block and one task writes it. Null cells, any
-    text, NaN and infinities come back as they were; nested columns are cells of JSON. An empty table has no block.
+    text, NaN and infinities come back as they were; nested columns are inline values, or cells of JSON where a type has no inline form. An empty table has no block.
     """
     o = options or Options(**given)
     struct = df.schema
@@ -197,22 +201,21 @@ def encode(df: DataFrame, order_by: list[str] | str, options: Options | None = N
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def split_row(lines: pd.Series, seps: pd.Series) -> pd.Series:
-    """Cells of a line, cut at the separator outside double quotes; an escaped character never ends a quote."""
+    """Cells of a line, cut at the separator outside double quotes and brackets; an escaped character never ends a quote."""
 
     def one(line: str, sep: str) -> list[str]:
-        if '"' not in line:
+        if not MARKS.search(line):
             return line.split(sep)
-        out, i, start = [], 0, 0
+        out, i, start, depth = [], 0, 0, 0
         while i < len(line):
-            if line[i] == '"' and i == start:
-                i += 1
-                while i < len(line) and line[i] != '"':
-                    i += 2 if line[i] == "\\" else 1
-                i += 1
-            elif line.startswith(sep, i):
+            c = line[i]
+            if c == '"' and (depth or i == start):
+                i = inline.quote_end(line, i) + 1
+            elif not depth and line.startswith(sep, i):
                 out.append(line[start:i])
                 i = start = i + len(sep)
             else:
+                depth += (c in "[{(") - (c in ")}]")
                 i += 1
         return [*out, line[start:]]
 
@@ -236,6 +239,8 @@ def decode_cells(cells: DataFrame, plan: Plan) -> DataFrame:
         null = "null" if plan.level == 1 else "-"
         if codec == "bool":
             v = c == ("true" if plan.level == 1 else "1")
+        elif codec == "inline":
+            v = inline.read(F.when(c != null, c), kind)
         elif codec == "json":
             v = F.from_json(scalars.unquoted(c), T.StructType([T.StructField("v", kind)]))["v"]
         elif isinstance(kind, T.StringType):
@@ -246,7 +251,8 @@ def decode_cells(cells: DataFrame, plan: Plan) -> DataFrame:
                 v = F.when(scalars.is_ref(c), F.get(F.array(*map(F.lit, plan.dictionary)), scalars.ref_index(c))).otherwise(v)
         else:
             v = scalars.value_of(scalars.expand_date(c) if plan.level >= 2 and isinstance(kind, TEMPORAL) else c, kind)
-        out.append(F.when(c != null, v).cast(kind).alias(f.name))
+        v = F.when(c != null, v)
+        out.append((v if codec in ("inline", "json") else v.cast(kind)).alias(f.name))  # nested values have their type, but for what can't be null
     return raw.select(*out)
 
 

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .functions import scalars, tokens
+from .functions import inline, scalars, tokens
 from .operators import deltas, dictionary, integrity, shapes, substrings, templates
 from .operators.ordering import with_ordinal
-from .plans import advisor, document
+from .plans import advisor, document, matrix
 from .sources import presets, render
 from .streaming import stream
 
@@ -457,6 +457,40 @@ def route_content(spark, d):
     return integrity.route(c.unionByName(e), "text").select("id", "is_json", "action")
 
 
+def _places(spark, d):
+    c = T(spark, d, "customer")
+    return c.select("c_custkey", F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.array("c_mktsegment", "c_name").alias("tags")).alias("place"))
+
+
+@query("""SELECT c_custkey, 'Place(' || c_name || ', ' || c_nationkey || ', [' || c_mktsegment || ', ' || c_name || '])' AS called,
+    '{name: ' || c_name || ', nation: ' || c_nationkey || ', tags: [' || c_mktsegment || ', ' || c_name || ']}' AS braced FROM customer""")
+def inline_text(spark, d):
+    p = _places(spark, d)
+    kind = p.schema["place"].dataType
+    return p.select("c_custkey", inline.written(F.col("place"), kind, "Place").alias("called"), inline.written(F.col("place"), kind).alias("braced"))
+
+
+@query("SELECT c_custkey, c_name AS name, c_nationkey AS nation, c_mktsegment AS tag FROM customer")
+def inline_roundtrip(spark, d):
+    back = document.decode(document.encode(_places(spark, d), "c_custkey", level=2, block_rows=5000).lines)
+    return back.select("c_custkey", "place.name", "place.nation", F.get("place.tags", F.lit(0)).alias("tag"))
+
+
+@query("SELECT s_suppkey, s_name AS name, s_nationkey AS nation FROM supplier")
+def key_value_read(spark, d):
+    block = F.concat(F.lit("# supplier\nkey: "), F.col("s_suppkey").cast("string"), F.lit("\nheld:\n  name: "), scalars.quoted(F.col("s_name")), F.lit("\n  nation: "), F.col("s_nationkey").cast("string"))
+    read = F.from_json(inline.key_value_json(block), "key long, held struct<name:string,nation:int>")
+    return T(spark, d, "supplier").select(read.alias("r")).select(F.col("r.key").alias("s_suppkey"), "r.held.name", "r.held.nation")
+
+
+@query("""SELECT ord, i - 1 AS pos, embedding[i]::DOUBLE AS value
+    FROM (SELECT ord, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS ord, embedding FROM embeddings))""")
+def matrix_roundtrip(spark, d):
+    e = T(spark, d, "embeddings")
+    back = matrix.decode_matrix(matrix.encode_matrix(e, "embedding", "vec_id", 2, 5000), e.schema["embedding"].dataType.elementType)
+    return back.select("ord", F.posexplode("row").alias("pos", "value")).select("ord", F.col("pos").cast("long").alias("pos"), F.col("value").cast("double").alias("value"))
+
+
 def _documents(level: int):
     def lines(spark, d):
         return document.encode(T(spark, d, "nation"), "n_nationkey", level=level).lines
