@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: shared n-grams find passages, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -31,30 +31,19 @@ def grams(items: list[tuple[int, list[str]]], n: int) -> dict[str, list[tuple[in
     return out
 
 
-def seeds(items: list[tuple[int, list[str]]], counts: dict[str, int], n: int, window: int) -> dict[str, list[tuple[int, int]]]:
-    """The rarest gram of every `window` neighbouring grams of an item, by its count in the corpus.
-
-    Rareness only ranks the grams of one item: each window keeps one however often it occurs, so any run of n + window - 1
-    words that a passage shares with an item holds a seed.
-    """
-    out: dict[str, list[tuple[int, int]]] = defaultdict(list)
-    for item, w in items:
-        g = [" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1) if w else 0)]
-        picked = {min(range(i, min(i + window, len(g))), key=lambda k: (counts.get(g[k], 0), k)) for i in range(max(1, len(g) - window + 1) if g else 0)}
-        for k in sorted(picked):
-            out[g[k]].append((item, k))
-    return out
-
-
 def align(passage: tuple[str, ...], item: tuple[str, ...]) -> int:
     """Best Smith-Waterman score of a local alignment of words."""
     ids = {w: k for k, w in enumerate(dict.fromkeys(item))}
-    b = np.array([ids[w] for w in item])
-    reach = GAP * np.arange(len(b) + 1)
-    row, best = np.zeros(len(b) + 1, np.int64), 0
-    for w in passage:
-        step = np.where(b == ids.get(w, -1), MATCH, MISMATCH)
-        new = np.zeros(len(b) + 1, np.int64)
+    return aligned(np.array([ids.get(w, -1) for w in passage], np.int32), np.array([ids[w] for w in item], np.int32))
+
+
+def aligned(passage: np.ndarray, item: np.ndarray) -> int:
+    """align() of word numbers; words that the item does not hold are -1."""
+    reach = GAP * np.arange(len(item) + 1)
+    row, best = np.zeros(len(item) + 1, np.int64), 0
+    for w in passage.tolist():
+        step = np.where(item == w, MATCH, MISMATCH)
+        new = np.zeros(len(item) + 1, np.int64)
         np.maximum(row[:-1] + step, row[1:] + GAP, out=new[1:])
         np.maximum(new, 0, out=new)
         row = np.maximum.accumulate(new - reach) + reach  # gaps along the item
@@ -90,36 +79,45 @@ def hits(docs: DataFrame, keys: list[str]) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, line string, grams array<string>, ends array<long>")
 
 
-def scored(found: DataFrame, items: list[tuple[int, list[str]]], seed: dict[str, list[tuple[int, int]]], threshold: float, slack: float) -> DataFrame:
-    """(doc_id, item_id, score, n_seeds) of the aligned pairs at or over the threshold."""
-    by_id = {i: tuple(w) for i, w in items}
+def scored(found: DataFrame, items: list[tuple[int, list[str]]], n: int, threshold: float, slack: float) -> DataFrame:
+    """(doc_id, item_id, score, n_seeds) of the aligned pairs at or over the threshold.
+
+    Every gram that a row shares with an item is a seed. Diagonals at most `slack` of the item's length apart are aligned as one
+    passage, unless the words it shares with the item are too few for the threshold in any order.
+    """
 
     def run(batches):
-        best_of = lru_cache(maxsize=20_000)(lambda passage, item: align(passage, by_id[item]))
+        seed = grams(items, n)
+        numbers = {i: {w: k for k, w in enumerate(dict.fromkeys(w))} for i, w in items}
+        as_numbers = {i: np.array([numbers[i][x] for x in w], np.int32) for i, w in items}
+        held = {i: np.bincount(x) for i, x in as_numbers.items()}
+        best_of = lru_cache(maxsize=20_000)(lambda passage, item: aligned(np.frombuffer(passage, np.int32), as_numbers[item]))
         for b in batches:
             out: list[tuple] = []
             for key, line, gs, ends in zip(*(c.to_pylist() for c in b.columns)):
                 starts: dict[int, set[int]] = defaultdict(set)
                 count: dict[int, int] = defaultdict(int)
-                w = None
-                for g, e in zip(gs, ends):
-                    for item, at in seed.get(g, ()):
-                        if w is None:
-                            w = line.split()
-                        first = line.count(" ", 0, e - len(g)) - 1
-                        starts[item].add(first - at)
+                w = line.split()
+                at, place = 0, -1  # `place` words end before byte `at`
+                for g, first in sorted(((g, e - len(g) - 1) for g, e in zip(gs, ends)), key=lambda x: x[1]):
+                    place += line.count(" ", at, first + 1)
+                    at = first + 1
+                    for item, k in seed.get(g, ()):
+                        starts[item].add(place - k)
                         count[item] += 1
-                for item in starts:
-                    n = len(by_id[item])
-                    more = int(n * slack) + 1
-                    top, end = 0, -1
-                    for s in sorted(starts[item]):  # diagonals close together share a passage
-                        if s <= end:
-                            continue
-                        end = s + more
-                        top = max(top, best_of(tuple(w[max(0, s - more) : s + n + 2 * more]), item))
-                    if top >= threshold * MATCH * n:
-                        out.append((key, item, top / (MATCH * n), count[item]))
+                for item, found_at in starts.items():
+                    size = len(as_numbers[item])
+                    more = int(size * slack) + 1
+                    top, s = 0, sorted(found_at)
+                    cut = [0, *(k for k in range(1, len(s)) if s[k] > s[k - 1] + more), len(s)]
+                    for i, j in zip(cut, cut[1:]):
+                        get = numbers[item].get
+                        passage = np.array([get(x, -1) for x in w[max(0, s[i] - more) : s[j - 1] + size + 2 * more]], np.int32)
+                        shared = np.minimum(np.bincount(passage[passage >= 0], minlength=len(held[item])), held[item]).sum()
+                        if shared >= threshold * size:
+                            top = max(top, best_of(passage.tobytes(), item))
+                    if top >= threshold * MATCH * size:
+                        out.append((key, item, top / (MATCH * size), count[item]))
             types = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["doc_id", "item_id", "score", "n_seeds"])
 
@@ -141,11 +139,12 @@ def blocks(bench: DataFrame) -> list[list[tuple[int, list[str]]]]:
     return [b for b in out if b]
 
 
-def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 5, window: int = 4, threshold: float = 0.6, slack: float = 0.25) -> DataFrame:
+def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 5, threshold: float = 0.6, slack: float = 0.25) -> DataFrame:
     """(doc_id, item_id, score, n_seeds): passages of a row that align with a test item at `threshold` of the item's own score or more.
 
     Words are runs of letters, digits and underscores, in lower case. The score is the best local alignment's (2 for equal
-    words, -1 for others and gaps), divided by that of the item with itself. Items with one id and different texts count as one
+    words, -1 for others and gaps), divided by that of the item with itself. Rows are aligned with every item of which they hold
+    `n` words in a row (all words of a shorter item); n_seeds counts those places. Items with one id and different texts count as one
     item (the last text in order); null and empty texts and null item ids match nothing; repeated rows are reported once for
     each. A row with a null doc_id is reported with it. Other columns are dropped; an empty table gives an empty table.
     """
@@ -155,9 +154,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     for items in blocks(bench):
         items = list(dict(items).items())
         found = materialize(hits(docs, list(grams(items, n))), "gram-hits")
-        counts = {r.g: r["count"] for r in found.select(F.explode("grams").alias("g")).groupBy("g").count().toLocalIterator()}  # at most the grams of the block
-        part = scored(found, items, seeds(items, counts, n, window), threshold, slack)
-        part = materialize(part, "leaks")
+        part = materialize(scored(found, items, n, threshold, slack), "leaks")
         discard(found)
         out = part if out is None else out.union(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, n_seeds long")

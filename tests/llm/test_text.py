@@ -78,6 +78,16 @@ def test_leaks(spark):
     assert decontaminate.contaminated(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_leaks_edited_often(spark):
+    """A word in 6, 7 or 8 replaced: runs of 5 to 7 equal words, so no 8 words in a row are left."""
+    r = random.Random(8)
+    items = [(i, [f"w{r.randrange(5000)}" for _ in range(40)]) for i in range(6)]
+    copy = lambda w, step: " ".join("new" if k % step == step - 1 else x for k, x in enumerate(w))
+    texts = [(10 * i + step, copy(w, step)) for i, w in items for step in (6, 7, 8)] + [(1000 + i, " ".join(w)) for i, w in items for _ in range(5)]
+    got = decontaminate.contaminated(docs(spark, texts), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == {(i, i // 10 if i < 1000 else i - 1000) for i, _ in texts} and len(got) == len(texts)
+
+
 # extraction
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><header>Site</header><nav><ul><li><a href=/>Menu</a></li></ul></nav>
 <div class="ad">Buy</div>{open}<h1>Title &amp; more</h1><p>First <b>bold</b>   text<br>goes on for a while so that it counts as content.<p>Short.<ul><li>one<li>two</ul>
