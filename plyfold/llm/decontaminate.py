@@ -79,8 +79,8 @@ def hits(docs: DataFrame, keys: list[str]) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, line string, grams array<string>, ends array<long>")
 
 
-def scored(found: DataFrame, items: list[tuple[int, list[str]]], n: int, threshold: float, slack: float) -> DataFrame:
-    """(doc_id, item_id, score, n_seeds) of the aligned pairs at or over the threshold.
+def scored(found: DataFrame, items: list[tuple[int, list[str]]], names: list[int | None], n: int, threshold: float, slack: float) -> DataFrame:
+    """(doc_id, item_id, score, n_seeds) of the aligned pairs at or over the threshold; item_id is the item's name.
 
     Every gram that a row shares with an item is a seed. Diagonals at most `slack` of the item's length apart are aligned as one
     passage, unless the words it shares with the item are too few for the threshold in any order.
@@ -117,18 +117,18 @@ def scored(found: DataFrame, items: list[tuple[int, list[str]]], n: int, thresho
                         if shared >= threshold * size:
                             top = max(top, best_of(passage.tobytes(), item))
                     if top >= threshold * MATCH * size:
-                        out.append((key, item, top / (MATCH * size), count[item]))
+                        out.append((key, names[item], top / (MATCH * size), count[item]))
             types = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["doc_id", "item_id", "score", "n_seeds"])
 
     return found.mapInArrow(run, "doc_id long, item_id long, score double, n_seeds long")
 
 
-def blocks(bench: DataFrame) -> list[list[tuple[int, list[str]]]]:
-    """The test items as words, read in blocks of at most about BLOCK_WORDS words."""
-    out: list[list[tuple[int, list[str]]]] = []
+def blocks(bench: DataFrame) -> list[list[tuple[int | None, list[str]]]]:
+    """The different test items as words, read in blocks of at most about BLOCK_WORDS words."""
+    out: list[list[tuple[int | None, list[str]]]] = []
     size = BLOCK_WORDS
-    for r in bench.filter("item_id is not null").dropDuplicates().orderBy("item_id", "text").toLocalIterator():
+    for r in bench.dropDuplicates().orderBy("item_id", "text").toLocalIterator():
         w = words(r.text)
         if size + len(w) > BLOCK_WORDS:
             out.append([])
@@ -144,17 +144,17 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     Words are runs of letters, digits and underscores, in lower case. The score is the best local alignment's (2 for equal
     words, -1 for others and gaps), divided by that of the item with itself. Rows are aligned with every item of which they hold
-    `n` words in a row (all words of a shorter item); n_seeds counts those places. Items with one id and different texts count as one
-    item (the last text in order); null and empty texts and null item ids match nothing; repeated rows are reported once for
-    each. A row with a null doc_id is reported with it. Other columns are dropped; an empty table gives an empty table.
+    `n` words in a row (all words of a shorter item); n_seeds counts those places. Different texts under one item id, or under
+    none, are items of their own, each reported with that id; null and empty texts match nothing; repeated rows are reported
+    once for each. A row with a null doc_id is reported with it. Other columns are dropped; an empty table gives an empty table.
     """
     docs = texts(df, id_col, text_col)
     bench = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     out = None
     for items in blocks(bench):
-        items = list(dict(items).items())
+        names, items = [i for i, _ in items], [(k, w) for k, (_, w) in enumerate(items)]
         found = materialize(hits(docs, list(grams(items, n))), "gram-hits")
-        part = materialize(scored(found, items, n, threshold, slack), "leaks")
+        part = materialize(scored(found, items, names, n, threshold, slack), "leaks")
         discard(found)
         out = part if out is None else out.union(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, n_seeds long")

@@ -88,6 +88,18 @@ def test_leaks_edited_often(spark):
     assert {(x.doc_id, x.item_id) for x in got} == {(i, i // 10 if i < 1000 else i - 1000) for i, _ in texts} and len(got) == len(texts)
 
 
+def test_leaks_of_items_that_share_an_id(spark, monkeypatch):
+    r = random.Random(9)
+    make = lambda: " ".join(f"w{r.randrange(5000)}" for _ in range(30))
+    items = [(1, make()), (1, make()), (1, make()), (None, make()), (None, make()), (2, make())]
+    bench = spark.createDataFrame([*items, items[0]], "item_id long, text string")
+    texts = [(10 + k, t) for k, (_, t) in enumerate(items)]
+    want = [(10 + k, i) for k, (i, _) in enumerate(items)]
+    for most in (2_000_000, 50):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", most)
+        assert sorted((x.doc_id, x.item_id) for x in decontaminate.contaminated(docs(spark, texts), bench).collect()) == want
+
+
 # extraction
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><header>Site</header><nav><ul><li><a href=/>Menu</a></li></ul></nav>
 <div class="ad">Buy</div>{open}<h1>Title &amp; more</h1><p>First <b>bold</b>   text<br>goes on for a while so that it counts as content.<p>Short.<ul><li>one<li>two</ul>
