@@ -20,8 +20,11 @@ PATTERNS = {
     "day_date": r"(?<![\w/])(?:0[1-9]|[12]\d|3[01])/(?:0[1-9]|1[0-2])/(?:1[89]|2[01])\d\d(?![\w/])",
     "ssn": r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+?1[-. ]?)?(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-. ]\d{4}(?!\w)",
+    "phone_e164": r"(?<![\w+])\+1[-. ]?(?:\(\d{3}\)|\d{3})[-. ]?\d{3}[-. ]?\d{4}(?!\w)",
     "phone_abroad": r"(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\w)",
     "card": r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w|[.-]\d)",
+    # after cards, which may begin with three groups like these
+    "phone_spaced": r"(?<![\w+])(?:1[-. ]?)?(?:\(\d{3}\)[-. ]?\d{3}[-. ]?|\d{3}[-. ]\d{3}[-. ])\d{4}(?!\w)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 DAYS = 146_097  # days of 400 years, 1800-01-01 to 2199-12-31: a whole cycle of the calendar, 189 * 773
@@ -128,7 +131,7 @@ def pseudonym(key: str, m: str = "m") -> str:
     plain = f"regexp_replace({local}, '[^A-Za-z0-9]', '')"
     spot = f"length(regexp_replace(left({local}, i + 1), '[^A-Za-z0-9]', ''))"
     email = f"transform(array({letters(key, plain)}), q -> concat(array_join(transform(split({local}, ''), (c, i) -> if(c rlike '[A-Za-z0-9]', substr(q, {spot}, 1), c)), ''), substr({m}, length({local}) + 1)))[0]"
-    made = {"email": email, "ipv4": ipv4, "iso_date": date("yyyy-MM-dd"), "day_date": date("dd/MM/yyyy"), "ssn": ssn, "phone": phone, "phone_abroad": abroad, "card": card}
+    made = {"email": email, "ipv4": ipv4, "iso_date": date("yyyy-MM-dd"), "day_date": date("dd/MM/yyyy"), "ssn": ssn, "phone": phone, "phone_e164": phone, "phone_abroad": abroad, "card": card, "phone_spaced": phone}
     return "case " + " ".join(f"when {whole[k]} then {made[k]}" for k in made) + f" else {m} end"
 
 
@@ -138,13 +141,13 @@ def pseudonymize(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     E-mail addresses (local part), IPv4 addresses, dates of 1800 to 2199 (yyyy-mm-dd, dd/mm/yyyy), US social security numbers,
     North American and other international telephone numbers, and numbers of 13 to 19 digits like those of payment cards are
     replaced by a permutation of their format under `key`: separators, lengths, country codes, first card digits and valid (or
-    wrong) check digits stay. A date that no calendar has stays. Null text stays null with n_values 0; repeated rows get equal
+    wrong) check digits stay. A North American number needs +1 or separators between its groups: ten bare digits stay. A date that no calendar has stays. Null text stays null with n_values 0; repeated rows get equal
     results; an n_values column of the input is replaced.
     """
     text = F.col(f"`{text_col}`")
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     between = F.split(text, ANY, -1)
-    out = df.withColumn("__values", F.when(text.rlike(r"\d") & text.rlike(ANY), found))
+    out = df.withColumn("__values", F.when(text.rlike(r"[\d@]") & text.rlike(ANY), found))
     names = F.expr(f"transform(__values, m -> {pseudonym(key)})")
     out = out.withColumn("__names", names).withColumn("__between", F.when(F.col("__values").isNotNull(), between))
     joined = F.expr("array_join(transform(__between, (x, i) -> concat(x, coalesce(get(__names, i), ''))), '')")

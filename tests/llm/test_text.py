@@ -47,6 +47,21 @@ def test_pii_is_a_permutation(spark):
     assert pii.pseudonymize(ips, "k").distinct().count() == 1000
 
 
+def test_pii_without_digits_and_bare_phones(spark):
+    mail = "Write to jane.doe@example.com"
+    phones = ["+14155552671", "+1 415 555 2671", "415 555 2671", "1 415 555 2671", "+1 (415)555 2671", "+1 (415) 555-2671", "(415)5552671"]
+    card = "378 282 2463 10005"  # no telephone number
+    texts = [(0, mail), (1, mail + " 7"), (2, card), (3, "4155552671"), *((10 + i, f"call {p}.") for i, p in enumerate(phones))]
+    got = {r.doc_id: r for r in pii.pseudonymize(docs(spark, texts), "k").collect()}
+    assert got[0].n_values == 1 and got[0].text + " 7" == got[1].text and "jane.doe" not in got[0].text and got[0].text.endswith("@example.com")
+    assert got[2].n_values == 1 and got[2].text[0] == "3" and luhn(re.sub(r"\D", "", got[2].text)) == luhn(card.replace(" ", ""))
+    assert got[3].text == "4155552671"
+    for i, p in enumerate(phones):
+        new = got[10 + i]
+        assert new.n_values == 1 and re.sub(r"\d", "9", new.text) == re.sub(r"\d", "9", f"call {p}.")
+    assert len({re.sub(r"\D", "", got[10 + i].text)[-10:] for i in range(len(phones))} - {"4155552671"}) == 1
+
+
 # decontamination
 def plain_score(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
