@@ -104,7 +104,7 @@ PLACED = "h long, ctx long, doc_id long, lo int, hi int, at int"
 def placed(docs: DataFrame, length: int, most: int = 1_000_000) -> DataFrame:
     """Anchors of (doc_id, text bytes), already reduced inside each task.
 
-    Of equal anchors with equal contexts in a task all but the earliest are certain repeats: they come out merged, as ranges of
+    Of equal anchors with equal contexts in a task all that don't stand where the earliest does are certain repeats: they come out merged, as ranges of
     starts with at = -1 and a hash of their own, so a group of copies adds one row per task and not one per copy.
     """
 
@@ -115,8 +115,9 @@ def placed(docs: DataFrame, length: int, most: int = 1_000_000) -> DataFrame:
         doc, h, ctx, at, lo, hi = (np.concatenate(x) for x in zip(*held))
         o = np.lexsort((lo, doc, ctx, h))
         doc, h, ctx, at, lo, hi = (x[o] for x in (doc, h, ctx, at, lo, hi))
-        again = np.append(False, (h[1:] == h[:-1]) & (ctx[1:] == ctx[:-1]))
-        k = ~again
+        k = np.append(True, (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1]))
+        lead = np.flatnonzero(k)[np.cumsum(k) - 1]
+        again = (doc != doc[lead]) | (lo != lo[lead])
         yield batch([h[k].view(np.int64), ctx[k].view(np.int64), doc[k], lo[k].astype(np.int32), hi[k].astype(np.int32), at[k].astype(np.int32)])
         d, a, b = merged(doc[again], lo[again], hi[again])
         if len(d):
@@ -206,7 +207,8 @@ def repeats(doc: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, con
         left = pad - int(at[i] - lo[i])
         rows[i, left : left + len(c)] = np.frombuffer(c, np.uint8)
     rank = np.empty(len(doc), np.int64)
-    rank[np.lexsort((at, doc))] = np.arange(len(doc))
+    o = np.lexsort((at, doc))
+    rank[o] = np.cumsum(np.append(0, (doc[o][1:] != doc[o][:-1]) | (at[o][1:] != at[o][:-1])))  # one rank for one place
     found = []
     for c, order, lcp in column_wise(rows):
         if c > pad:
@@ -309,7 +311,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = as_bytes(texts(df, id_col, text_col))
     same = Window.partitionBy("h", "ctx").orderBy("doc_id", "lo")
     whole = Window.partitionBy("h")
-    ranked = placed(docs, length).repartition(partitions(df.sparkSession), "h").withColumn("leads", (F.row_number().over(same) == 1).cast("int"))
+    ranked = placed(docs, length).repartition(partitions(df.sparkSession), "h").withColumn("leads", (F.row_number().over(same) == 1).cast("int")).withColumn("first", F.rank().over(same) == 1)
+    ranked = ranked.filter("at < 0 or leads = 1 or not first")  # the leader's place in a repeated row is no repeat
     ranked = ranked.withColumn("leaders", F.sum("leads").over(whole)).filter("at < 0 or leads = 0 or leaders > 1")
     ranked = materialize(ranked.select("h", "doc_id", "lo", "hi", "at", F.expr("at < 0 or leads = 0").alias("sure"), "leaders"), "anchors")
     found = materialize(contexts(ranked.filter("not sure and leaders <= %d" % hot), docs, length), "contexts")

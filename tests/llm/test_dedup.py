@@ -123,6 +123,19 @@ def test_repeats_edge_rows(spark):
     assert len({(x.n_removed, x.kept_sha256) for x in twice}) == 1
 
 
+@pytest.mark.parametrize("hot", [100_000, 1])
+def test_repeated_rows_keep_a_copy(spark, hot):
+    """Against brute force on the rows once each: a repeated row stands where the first one does."""
+    r = random.Random(10)
+    make = lambda n: "".join(r.choice("abcdefgh é\n") for _ in range(n))
+    shared, same = make(300), make(900)
+    texts = [(5, same), (6, make(50) + shared + make(70)), (7, make(200) + shared + same[100:400]), (9, make(80) + shared[20:] + make(30) + shared[:180])]
+    frame = spark.createDataFrame(rows(texts * 3), SCHEMA).repartition(3)
+    got = [(x.doc_id, (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256)) for x in suffix.remove_repeats(frame, hot=hot).collect()]
+    want = plain_removal(texts, 100)
+    assert sorted(got) == sorted([*want.items()] * 3) and want[5][1] == 0 and want[7][1] > 500
+
+
 def test_column_wise_construction():
     rng = np.random.default_rng(5)
     m = rng.integers(97, 100, (60, 40)).astype(np.uint8)
