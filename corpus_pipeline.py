@@ -18,16 +18,28 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, model, keep=docs.columns).filter(F.col("score") >= THRESHOLD).select(*docs.columns)
 
 
+def numbered(docs: DataFrame, label: str) -> DataFrame:
+    """docs and a column __row, a number of its own for every row, stored so that it stays the same."""
+    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), label)
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate component."""
-    first = simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id")
-    return docs.join(first.distinct(), "doc_id", "left_semi")
+    """One row of each near-duplicate component: that with the smallest doc_id, null last; equal ids are told apart by a hash of the row.
+
+    Components are those of rows: repeated rows and rows without doc_id are grouped like all others.
+    """
+    rows = numbered(docs, "rows")
+    groups = simhash.near_duplicates(rows, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "__row")
+    first = rows.select("__row", order.alias("order")).join(groups, "__row").groupBy("component_id").agg(F.min("order").alias("order"))
+    return rows.join(first.select("order.__row"), "__row", "left_semi").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti")
+    """Rows without a passage of the benchmark, with a doc_id or without."""
+    rows = numbered(docs, "rows")
+    leaks = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), id_col="__row")
+    return rows.join(leaks.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").select(*docs.columns)
 
 
 def pseudonymized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

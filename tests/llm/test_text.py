@@ -270,3 +270,20 @@ def test_pipeline(spark, sf):
         assert frame.columns == last and 0 < frame.count() <= before, name
     out = p.run(spark, sf).collect()
     assert {r.doc_id for r in out} == {r.doc_id for r in frame.collect()}
+
+
+def test_stages_take_rows_without_and_with_shared_ids(spark, sf):
+    import corpus_pipeline as p
+
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    item = next(r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if len(r.text.split()) > 20)
+    r = random.Random(11)
+    make = lambda: " ".join(f"w{r.randrange(5000)}" for _ in range(60))
+    alone, copied, twice, other = make(), make(), make(), make()
+    texts = [(None, alone), (None, copied), (8, copied), (7, copied), (5, twice), (5, twice), (5, other), (None, make())]
+    texts += [(None, texts[-1][1])]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], d.schema)
+    kept = sorted(((x.doc_id or 0, x.text) for x in p.one_of_each_group(spark, frame, sf).collect()))
+    assert kept == sorted([(0, alone), (7, copied), (5, twice), (5, other), (0, texts[-1][1])])
+    leaky = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in [(None, item), (1, item), (1, alone), (None, other)]], d.schema)
+    assert sorted(((x.doc_id or 0, x.text) for x in p.decontaminated(spark, leaky, sf).collect())) == sorted([(1, alone), (0, other)])
