@@ -29,6 +29,7 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, bool, int]] = []  # name, hidden, box
         self.boxes: list[int] = [-1]  # each box's parent
         self.content: set[int] = set()
+        self.titles: set[int] = set()  # boxes of h1
         self.lines: list[tuple[str, int, int]] = []  # text, tags, box
         self.text: list[str] = []
         self.tags = 0
@@ -66,6 +67,8 @@ class Lines(HTMLParser):
             box = len(self.boxes) - 1
             if tag in CONTENT or ("role", "main") in attrs:
                 self.content.add(box)
+            if tag == "h1":
+                self.titles.add(box)
         self.open.append((tag, hidden, box))
 
     def handle_startendtag(self, tag, attrs):
@@ -129,9 +132,8 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     """The content blocks of a page, joined by an empty line.
 
     Furniture (menus, forms, adverts and so on, by element, class, id or role) never makes a line. The smoothed text-to-tag
-    ratios of the others are cut into two clusters; the lines of the upper one point out the region: the article or main
-    elements that hold them, or else the smallest box that holds most of their text. All lines of the region are its text,
-    short ones too.
+    ratios of the others are cut into two clusters. The region is all article and main elements, or else the smallest box that
+    holds all lines of the upper cluster and the h1. All lines of the region are its text, short ones too.
     """
     p = Lines()
     p.feed(html)
@@ -139,25 +141,19 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     p.flush()
     if not p.lines:
         return ""
-    ratio = smoothed([len(t) / max(1, n) for t, n, _ in p.lines], sigma)
-    cut = threshold(ratio)
-    chosen = [(len(t), box) for (t, _, box), r in zip(p.lines, ratio) if r >= cut]
 
     def up(box: int):
         while box >= 0:
             yield box
             box = p.boxes[box]
 
-    regions = {next((b for b in up(box) if b in p.content), None) for _, box in chosen} - {None}
-    if p.content and not regions:
-        regions = {b for b in p.content if any(b in up(box) for _, _, box in p.lines)}
+    regions = {b for _, _, box in p.lines for b in up(box) if b in p.content}
     if not regions:
-        weight: dict[int, int] = {}
-        for n, box in chosen:
-            for b in up(box):
-                weight[b] = weight.get(b, 0) + n
-        most = sum(n for n, _ in chosen)
-        regions = {max((b for b, n in weight.items() if 2 * n > most), default=0)}
+        ratio = smoothed([len(t) / max(1, n) for t, n, _ in p.lines], sigma)
+        cut = threshold(ratio)
+        chosen = [box for (_, _, box), r in zip(p.lines, ratio) if r >= cut or box in p.titles]
+        shared = set(up(chosen[0])).intersection(*(up(b) for b in chosen))
+        regions = {max(shared)}
     return "\n\n".join(t for t, _, box in p.lines if any(b in regions for b in up(box)))
 
 

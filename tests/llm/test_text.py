@@ -127,6 +127,22 @@ def test_main_text(box):
     assert extract.main_text(PAGE.format(open=box[0], close=box[1])).split("\n\n") == want
 
 
+LONG = "A paragraph that goes on for a while, so that its ratio of text to tags is high and it counts as content of the page. " * 3
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<section><p>{LONG}<p>{LONG}<p>{LONG}</section><section><p>{LONG}<p>{LONG}</section>",
+        f"<h1>Headline</h1><div><p>{LONG}</div><blockquote><p>{LONG}<p>{LONG}<p>{LONG}</blockquote><p>{LONG}</p><pre>{LONG}</pre>",
+        f"<article><p>{LONG}<p>{LONG}</article><article><p>Short.</article><main><p>Also.</main>",
+    ],
+)
+def test_region_loses_nothing(body):
+    want = [" ".join(x.split()) for t in re.split("<[^>]*>", body) if (x := t.strip())]
+    assert extract.main_text(f"<body><nav>Menu</nav>{body}<footer>Foot</footer></body>").split("\n\n") == want
+
+
 def test_extract_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "plain", "x"), (None, "u", "<p>a</p><p>b &lt; c", "x"), (4, "u", "<article><p>cut off &am", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in extract.extract(df).collect()) == [(0, "a\n\nb < c", 8), (1, "", 0), (2, "", 0), (3, "plain", 5), (4, "cut off &am", 11)]
