@@ -18,7 +18,16 @@ CONTENT = frozenset("article main".split())
 FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot banner banners breadcrumb breadcrumbs comment comments commentlist cookie cookies cookiebar consent disqus footer form header masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar sidebars signup skyscraper social sponsor sponsored subscribe toolbar widget widgets complementary contentinfo alert".split()
 )
-PART = re.compile(r"[A-Za-z]+")
+# Furniture that may hold a whole page all the same is judged once the page is read; of it, this is never the main text by its size.
+JUDGED = frozenset("nav aside footer form header dialog menu".split())
+ASIDE = frozenset("breadcrumb breadcrumbs comment comments commentlist disqus footer menu menubar nav navbar navigation pager pagination replies reply respond".split())
+PAGE = frozenset("html body".split())
+HEAD = re.compile(r"[a-z]+")
+
+
+def furniture(value: str) -> set[str]:
+    """The words of FURNITURE that a token of a class, id or role is or begins with (share-buttons, but not has-comments)."""
+    return FURNITURE.intersection(m[0] for m in map(HEAD.match, value.lower().split()) if m)
 
 
 class Lines(HTMLParser):
@@ -29,7 +38,9 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, bool, int]] = []  # name, hidden, box
         self.boxes: list[int] = [-1]  # each box's parent
         self.content: set[int] = set()
+        self.main: set[int] = set()  # those that are not article
         self.titles: set[int] = set()  # boxes of h1
+        self.furniture: dict[int, bool] = {}  # boxes that look like furniture: whether they may be the main text by their size
         self.lines: list[tuple[str, int, int]] = []  # text, tags, box
         self.text: list[str] = []
         self.tags = 0
@@ -55,18 +66,20 @@ class Lines(HTMLParser):
                 self.shut(tag, limit=("ul", "ol", "article", "section", "div", "main", "body", "table", "blockquote"))
         hidden = bool(self.open and self.open[-1][1])
         box = self.open[-1][2] if self.open else 0
+        exempt = tag in CONTENT or tag in PAGE or ("role", "main") in attrs
+        looks = set() if exempt else {w for name, value in attrs if name in ("class", "id", "role") and value for w in furniture(value)}
+        judged = tag in JUDGED and not exempt and (tag != "header" or not self.inside())
         if not hidden:
-            hidden = tag in SKIPPED or tag == "header" and not self.inside()
-            for name, value in attrs if attrs and tag not in CONTENT and tag != "body" else ():
-                if name in ("class", "id", "role") and value and not FURNITURE.isdisjoint(PART.findall(value.lower())):
-                    hidden = True
-                elif name == "hidden":
-                    hidden = True
-        if tag not in INLINE and tag not in ("p", "li"):
+            hidden = tag in SKIPPED and tag not in JUDGED or bool(looks) and tag in INLINE or not exempt and any(name == "hidden" for name, _ in attrs)
+        if tag not in INLINE and (tag not in ("p", "li") or looks):
             self.boxes.append(box)
             box = len(self.boxes) - 1
+            if looks or judged:
+                self.furniture[box] = ASIDE.isdisjoint(looks) and (tag == "form" or not judged)
             if tag in CONTENT or ("role", "main") in attrs:
                 self.content.add(box)
+                if tag != "article":
+                    self.main.add(box)
             if tag == "h1":
                 self.titles.add(box)
         self.open.append((tag, hidden, box))
@@ -128,33 +141,67 @@ def threshold(x: list[float]) -> float:
     return cut
 
 
+def judge(p: Lines, up) -> tuple[set[int], bool]:
+    """(boxes that look like furniture and are none, whether that was found only by article elements in them).
+
+    They hold a main element, or over half of the text that isn't in menus, comments and the like; or, if no content element
+    would show, an article.
+    """
+    weight = [0] * len(p.boxes)
+    total = 0
+    for t, _, box in p.lines:
+        if all(p.furniture.get(b, True) for b in up(box)):
+            total += len(t)
+            for b in up(box):
+                weight[b] += len(t)
+    full = {b for _, _, box in p.lines for b in up(box)}
+    lifted = {b for m in p.main & full for b in up(m) if b in p.furniture}
+    lifted |= {b for b, may in p.furniture.items() if may and 2 * weight[b] > total}
+    for _, _, box in p.lines:
+        above = set(up(box))
+        if above & p.content and not above & (p.furniture.keys() - lifted):
+            return lifted, False
+    inner = {b for c in p.content & full if all(p.furniture.get(b, True) for b in up(c)) for b in up(c) if b in p.furniture}
+    return lifted | inner, not inner <= lifted
+
+
 def main_text(html: str, sigma: float = 1.0) -> str:
     """The content blocks of a page, joined by an empty line.
 
-    Furniture (menus, forms, adverts and so on, by element, class, id or role) never makes a line. The smoothed text-to-tag
-    ratios of the others are cut into two clusters. The region is all article and main elements, or else the smallest box that
-    holds all lines of the upper cluster and the h1. All lines of the region are its text, short ones too.
+    Furniture (menus, forms, adverts and so on, by element, class, id or role) is left out, unless judge() finds the page itself
+    in it. The smoothed text-to-tag ratios of the other lines are cut into two clusters. The region is all article and main
+    elements, or else the smallest box that holds all lines of the upper cluster and the h1. All lines of the region are its
+    text, short ones too.
     """
     p = Lines()
     p.feed(html)
     p.close()
     p.flush()
-    if not p.lines:
-        return ""
 
     def up(box: int):
         while box >= 0:
             yield box
             box = p.boxes[box]
 
-    regions = {b for _, _, box in p.lines for b in up(box) if b in p.content}
-    if not regions:
-        ratio = smoothed([len(t) / max(1, n) for t, n, _ in p.lines], sigma)
+    lifted, wide = judge(p, up) if p.furniture else (set(), False)
+    off = p.furniture.keys() - lifted
+    lines, more = [], 0
+    for t, n, box in p.lines:  # tags of furniture count for the line after it
+        if off and any(b in off for b in up(box)):
+            more += n
+        else:
+            lines.append((t, n + more, box))
+            more = 0
+    if not lines:
+        return ""
+    regions = {b for _, _, box in lines for b in up(box) if b in p.content}
+    if wide or not regions:
+        ratio = smoothed([len(t) / max(1, n) for t, n, _ in lines], sigma)
         cut = threshold(ratio)
-        chosen = [box for (_, _, box), r in zip(p.lines, ratio) if r >= cut or box in p.titles]
+        chosen = [box for (_, _, box), r in zip(lines, ratio) if r >= cut or box in p.titles]
         shared = set(up(chosen[0])).intersection(*(up(b) for b in chosen))
         regions = {max(shared)}
-    return "\n\n".join(t for t, _, box in p.lines if any(b in regions for b in up(box)))
+    return "\n\n".join(t for t, _, box in lines if any(b in regions for b in up(box)))
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

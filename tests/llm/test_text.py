@@ -143,6 +143,14 @@ def test_region_loses_nothing(body):
     assert extract.main_text(f"<body><nav>Menu</nav>{body}<footer>Foot</footer></body>").split("\n\n") == want
 
 
+@pytest.mark.parametrize("box", ['class="layout with-sidebar"', 'class="no-sidebar"', 'class="has-comments"', 'class="page-header-fixed"', 'id="search-result"', 'class="widget"', 'class="form"'])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_furniture_words_around_a_page(box, inner):
+    comments = f'<section id="comments"><article class="comment"><p>{LONG}{LONG}</p></article></section>'
+    html = f'<body><nav>Menu</nav><div {box}><{inner}><h1 class="article-header">Headline</h1><div class="article-form"><p>{LONG}</p></div><div class="share">Share</div></{inner}></div>{comments}</body>'
+    assert extract.main_text(html).split("\n\n") == ["Headline", " ".join(LONG.split())]
+
+
 def test_extract_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "plain", "x"), (None, "u", "<p>a</p><p>b &lt; c", "x"), (4, "u", "<article><p>cut off &am", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in extract.extract(df).collect()) == [(0, "a\n\nb < c", 8), (1, "", 0), (2, "", 0), (3, "plain", 5), (4, "cut off &am", 11)]
