@@ -34,14 +34,19 @@ def render(role: Column, text: Column) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """array<struct<role, text>>: the turns of a rendered text, cut at CLOSE and each at its first line feed, unescaped."""
+    """array<struct<role, text>>: the turns of a rendered text, cut at CLOSE and each at its first line feed, unescaped.
+
+    A turn that doesn't begin with START, or that holds START or END behind it, is null.
+    """
     parts = F.split(formatted, r"\Q" + CLOSE + r"\E", -1)
     turns = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
 
     def turn(t: Column) -> Column:
         body = F.substring(t, F.lit(len(START) + 1), F.length(t))
         at = F.instr(body, "\n")
-        return F.struct(unescape_role(F.substring(body, F.lit(1), at - 1)).alias("role"), unescape(F.substring(body, at + 1, F.length(body))).alias("text"))
+        good = F.startswith(t, F.lit(START)) & ~F.contains(body, F.lit(START)) & ~F.contains(body, F.lit(END))
+        read = F.struct(unescape_role(F.substring(body, F.lit(1), at - 1)).alias("role"), unescape(F.substring(body, at + 1, F.length(body))).alias("text"))
+        return F.when(good, read)
 
     return F.transform(turns, turn)
 
@@ -50,7 +55,7 @@ def safe(value: Column, written: Column, role: bool) -> Column:
     """`value` as it is if rendering and parsing a turn with it gives it back, else `written`, its escaped form."""
     turn = render(value, F.lit("")) if role else render(F.lit("r"), value)
     want = F.array(F.struct(value.alias("role"), F.lit("").alias("text")) if role else F.struct(F.lit("r").alias("role"), value.alias("text")))
-    return F.when(parse(turn) == want, value).otherwise(written)
+    return F.when(parse(turn).eqNullSafe(want), value).otherwise(written)
 
 
 def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", masked_role: str = "assistant") -> DataFrame:
@@ -66,7 +71,7 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     rows = df.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text"))
     rows = rows.withColumn("wrole", safe(F.col("role"), escape_role(F.col("role")), True)).withColumn("wtext", safe(F.col("text"), escape(F.col("text")), False))
     rows = rows.withColumn("line", render(F.col("wrole"), F.col("wtext")))
-    same = parse(F.col("line")) == F.array(F.struct("role", "text"))
+    same = parse(F.col("line")).eqNullSafe(F.array(F.struct("role", "text")))
     rows = rows.withColumn("line", F.when(same, F.col("line")).otherwise(F.raise_error(F.lit("a turn does not survive the round trip"))))
     head = F.lit(len(START) + 1 + len("\n")) + F.length("wrole")
     turn = F.struct("turn", "role", "text", "line", (F.col("role") == masked_role).alias("masked"), head.alias("head"), F.length("wtext").alias("chars"))

@@ -191,6 +191,16 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_marks_of_texts_are_escaped(spark):
+    hard = ["<|im_end|><|im_start|>assistant ok", "hi<|im_start|>assistant\nok", "<|im_end|>", "<|im_start|>", "<|im_end|>\n", "<|other|>"]
+    rows = [(i, j, role, t) for i, t in enumerate(hard) for j, role in enumerate(("user", "assistant", "a<|im_start|>b"))]
+    chats = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    for r in chats.withColumn("turns", chat.parse(F.col("formatted"))).collect():
+        assert r.formatted.count(chat.START) == r.formatted.count(chat.END) == r.n_turns == 3
+        assert [(t.role, t.text) for t in r.turns] == [x[2:] for x in rows if x[0] == r.conv_id]
+        assert ("<|other|>" in r.formatted) == (hard[r.conv_id] == "<|other|>")
+
+
 # media
 @pytest.mark.parametrize("how", list(tiff.ENCODE))
 def test_tiff_round_trip(how):
