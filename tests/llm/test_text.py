@@ -98,9 +98,9 @@ def test_leaks_edited_often(spark):
     r = random.Random(8)
     items = [(i, [f"w{r.randrange(5000)}" for _ in range(40)]) for i in range(6)]
     copy = lambda w, step: " ".join("new" if k % step == step - 1 else x for k, x in enumerate(w))
-    texts = [(10 * i + step, copy(w, step)) for i, w in items for step in (6, 7, 8)] + [(1000 + i, " ".join(w)) for i, w in items for _ in range(5)]
+    texts = [(10 + i, copy(w, (6, 7, 8)[i % 3])) for i, w in items]  # no intact copy, so grams broken by an edit occur nowhere
     got = decontaminate.contaminated(docs(spark, texts), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()
-    assert {(x.doc_id, x.item_id) for x in got} == {(i, i // 10 if i < 1000 else i - 1000) for i, _ in texts} and len(got) == len(texts)
+    assert {(x.doc_id, x.item_id) for x in got} == {(10 + i, i) for i, _ in items} and len(got) == len(texts)
 
 
 def test_leaks_of_items_that_share_an_id(spark, monkeypatch):
