@@ -166,10 +166,14 @@ def read(cell: Column, kind: T.DataType) -> Column:
     return F.from_json(as_json(cell), T.StructType([T.StructField("v", kind)]))["v"]
 
 
-@F.pandas_udf(T.StringType())
-def inline_json(cells: pd.Series) -> pd.Series:
+def inline_json(cell: Column) -> Column:
     """JSON of inline values of any type, for parse_json."""
-    return cells.map(lambda s: None if s is None else to_json(s))
+
+    @F.pandas_udf(T.StringType())
+    def run(cells: pd.Series) -> pd.Series:
+        return cells.map(lambda s: None if s is None else to_json(s))
+
+    return run(cell)
 
 
 def block_json(text: str) -> str:
@@ -211,7 +215,11 @@ def block_json(text: str) -> str:
     return dump(top)
 
 
-@F.pandas_udf(T.StringType())
-def key_value_json(blocks: pd.Series) -> pd.Series:
+def key_value_json(block: Column) -> Column:
     """JSON of texts of indented `key: value` lines."""
-    return blocks.map(lambda s: None if s is None else block_json(s))
+
+    @F.pandas_udf(T.StringType())
+    def run(blocks: pd.Series) -> pd.Series:
+        return blocks.map(lambda s: None if s is None else block_json(s))
+
+    return run(block)

@@ -36,13 +36,21 @@ def quoted(text: Column, part: bool = False) -> Column:
     return F.when(text.rlike(QUOTED_PART if part else QUOTED), escape(text)).otherwise(text)
 
 
+def unescaped(body: Column) -> Column:
+    """Text whose escapes of two characters are put back. It is cut at doubled backslashes, so that no other escape spans a cut."""
+    parts = F.split(body, r"\\\\", -1)
+
+    def put_back(part: Column) -> Column:
+        for raw, written in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            part = F.replace(part, F.lit(written), F.lit(raw))
+        return part
+
+    return F.when(F.contains(body, F.lit("\\")), F.array_join(F.transform(parts, put_back), "\\")).otherwise(body)
+
+
 def unquoted(cell: Column) -> Column:
-    """Inverse of quoted(): a doubled backslash waits as a character that no text holds while the others are put back."""
-    body = F.substring(cell, F.lit(2), F.length(cell) - 2)
-    body = F.replace(body, F.lit("\\\\"), F.lit("\ufdd0"))
-    for raw, written in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        body = F.replace(body, F.lit(written), F.lit(raw))
-    return F.when(cell.startswith('"'), F.replace(body, F.lit("\ufdd0"), F.lit("\\"))).otherwise(cell)
+    """Inverse of quoted()."""
+    return F.when(cell.startswith('"'), unescaped(F.substring(cell, F.lit(2), F.length(cell) - 2))).otherwise(cell)
 
 
 def ref(index: Column) -> Column:
@@ -134,18 +142,27 @@ def from_base62(text: str) -> int:
     return out
 
 
-@F.pandas_udf(T.StringType())
-def uuid_to_base62(ids: pd.Series) -> pd.Series:
+def uuid_to_base62(ids: Column) -> Column:
     """^ and the 128-bit number of a lower-case UUID in base 62; 64-bit built-ins can't hold it."""
-    return ids.map(lambda s: None if s is None else "^" + to_base62(int(s.replace("-", ""), 16)))
 
+    @F.pandas_udf(T.StringType())
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda s: None if s is None else "^" + to_base62(int(s.replace("-", ""), 16)))
+
+    return run(ids)
+
+
+def base62_to_uuid(cells: Column) -> Column:
+    """Inverse of uuid_to_base62(), always in lower case with all 32 digits."""
+
+    @F.pandas_udf(T.StringType())
+    def run(values: pd.Series) -> pd.Series:
+        def one(s):
+            if s is None:
+                return None
+            h = f"{from_base62(s[1:]):032x}"
+            return "-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:]))
 
-@F.pandas_udf(T.StringType())
-def base62_to_uuid(cells: pd.Series) -> pd.Series:
-    def one(s):
-        if s is None:
-            return None
-        h = f"{from_base62(s[1:]):032x}"
-        return "-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:]))
+        return values.map(one)
 
-    return cells.map(one)
+    return run(cells)

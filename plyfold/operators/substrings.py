@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import discard, materialize
+
 # Bounds of the search and number of fragments.
 SHORTEST, LONGEST, MIN_FREQUENCY, MOST = 6, 50, 3, 32
 
@@ -30,19 +32,24 @@ def ngrams(df: DataFrame, columns: list[str]) -> DataFrame:
 def choose(found: DataFrame, page: int = 2_000) -> list[str]:
     """At most 32 fragments, by savings; one that holds a chosen one or is held by it is passed over, as is one that doesn't pay.
 
-    Only the best candidates come to the driver; while the list is not full and more remain, further ones are asked for.
+    The best `page` candidates come to the driver at once. While the list is not full, the best of those that no chosen fragment
+    rules out are asked for: each time one at least is chosen, so MOST requests are enough, however many candidates there are.
     """
     order = [F.desc("savings"), F.desc(F.length("fragment")), F.asc("fragment")]
+    found = materialize(found.filter(F.col("savings") > F.length("fragment") + 4), "fragments")
     chosen: list[str] = []
-    seen = 0
-    while True:
-        rows = found.filter(F.col("savings") > F.length("fragment") + 4).orderBy(*order).offset(seen).limit(page).collect()
+    left = found
+    while len(chosen) < MOST:
+        rows = left.orderBy(*order).limit(page).collect()
         for r in rows:
             if len(chosen) < MOST and not any(r.fragment in c or c in r.fragment for c in chosen):
                 chosen.append(r.fragment)
-        seen += len(rows)
-        if len(rows) < page or len(chosen) >= MOST or seen >= 10 * page:
-            return chosen
+        if len(rows) < page:
+            break
+        holds = F.exists(F.array(*map(F.lit, chosen)), lambda c: F.contains(F.col("fragment"), c) | F.contains(c, F.col("fragment")))
+        left = found.filter(~holds)
+    discard(found)
+    return chosen
 
 
 def apply(cell: Column, fragments: list[str]) -> Column:
@@ -57,8 +64,11 @@ def apply(cell: Column, fragments: list[str]) -> Column:
 
 
 def expand(cell: Column, fragments: list[str]) -> Column:
-    """Inverse of apply(): a doubled % waits as a character that no text holds."""
-    text = F.replace(cell, F.lit("%%"), F.lit("\ufdd1"))
-    for i, f in enumerate(fragments):
-        text = F.replace(text, F.lit(f"%{i};"), F.lit(f.replace("%", "\ufdd1")))
-    return F.replace(text, F.lit("\ufdd1"), F.lit("%"))
+    """Inverse of apply(). Cut at doubled %, which never overlap a %n;, a cell has one %n; at most, in one of the parts."""
+    held = F.array(*map(F.lit, fragments)) if fragments else F.array().cast("array<string>")
+
+    def put_back(part: Column) -> Column:
+        n = F.regexp_extract(part, r"%(\d+);", 1)
+        return F.when(n == "", part).otherwise(F.call_function("array_join", F.split(part, r"%\d+;", -1), F.get(held, n.cast("int"))))
+
+    return F.when(F.contains(cell, F.lit("%")), F.array_join(F.transform(F.split(cell, "%%", -1), put_back), "%")).otherwise(cell)

@@ -7,7 +7,6 @@ one), and writes rows with Column expressions and windows. decode() follows the
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
@@ -27,7 +26,7 @@ from .header import Header, hint, read_header
 EXACT = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 TEMPORAL = (T.TimestampType, T.TimestampNTZType, T.DateType)
 FLAT = (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType, T.BinaryType, *TEMPORAL)
-MARKS = re.compile(r'["\[{(]')
+MARKS = r'["\[{(]'
 
 
 @dataclass
@@ -199,27 +198,39 @@ def encode(df: DataFrame, order_by: list[str] | str, options: Options | None = N
     return Encoded(plan, rows, head.unionByName(body))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def split_row(lines: pd.Series, seps: pd.Series) -> pd.Series:
-    """Cells of a line, cut at the separator outside double quotes and brackets; an escaped character never ends a quote."""
+def split_row(line: Column, sep: str, flat: bool = False) -> Column:
+    """Cells of a line, cut at the separator outside double quotes and brackets; an escaped character never ends a quote.
 
-    def one(line: str, sep: str) -> list[str]:
-        if not MARKS.search(line):
-            return line.split(sep)
-        out, i, start, depth = [], 0, 0, 0
-        while i < len(line):
-            c = line[i]
-            if c == '"' and (depth or i == start):
-                i = inline.quote_end(line, i) + 1
-            elif not depth and line.startswith(sep, i):
-                out.append(line[start:i])
-                i = start = i + len(sep)
-            else:
-                depth += (c in "[{(") - (c in ")}]")
-                i += 1
-        return [*out, line[start:]]
-
-    return pd.Series([one(x, s) for x, s in zip(lines, seps)])
+    Lines without quotes and brackets are cut by split(). In a `flat` document brackets stand only in quotes, so quoted cells
+    without escapes are cut by one pattern too. Only what is left goes to Python, and nothing at all if there is no such line.
+    """
+    quote_end = inline.quote_end
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def cut(lines: pd.Series) -> pd.Series:
+        def one(text: str) -> list[str]:
+            out, i, start, depth = [], 0, 0, 0
+            while i < len(text):
+                c = text[i]
+                if c == '"' and (depth or i == start):
+                    i = quote_end(text, i) + 1
+                elif not depth and text.startswith(sep, i):
+                    out.append(text[start:i])
+                    i = start = i + len(sep)
+                else:
+                    depth += (c in "[{(") - (c in ")}]")
+                    i += 1
+            return [*out, text[start:]]
+
+        return lines.map(lambda x: None if x is None else one(x))
+
+    plain = ~line.rlike('"' if flat else MARKS)
+    easy = F.split(line, sep, -1)
+    if flat:
+        quoted = ~F.contains(line, F.lit("\\"))
+        cells = F.regexp_extract_all(line, F.lit(rf'(?:^|{sep})("[^"]*+"|[^{sep[0]}"][^{sep[0]}]*+)'), F.lit(1))
+        return F.when(plain, easy).when(quoted, cells).otherwise(cut(F.when(~plain & ~quoted, line)))
+    return F.when(plain, easy).otherwise(cut(F.when(~plain, line)))
 
 
 def decode_cells(cells: DataFrame, plan: Plan) -> DataFrame:
@@ -275,8 +286,8 @@ def decode(lines: DataFrame, plan: Plan | None = None, strict: bool = True) -> D
         wrong = bad.select("block").limit(5).collect()
         if wrong:
             raise ValueError(f"checksum or row count differs in blocks {[r.block for r in wrong]}")
-    sep = "\t" if plan.level == 3 else ", "
-    return decode_cells(body.select("block", "ord", split_row("line", F.lit(sep)).alias("cells")), plan)
+    sep, flat = "\t" if plan.level == 3 else ", ", "inline" not in plan.codecs.values()
+    return decode_cells(body.select("block", "ord", split_row(F.col("line"), sep, flat).alias("cells")), plan)
 
 
 def encode_text(df: DataFrame, order_by: list[str] | str, **options) -> str:

@@ -42,7 +42,7 @@ def decode_matrix(lines: DataFrame, kind: T.DataType) -> DataFrame:
     level, n_cols = int(head["@v"][2:]), int(head["@A"].split()[2])
     if lines.groupBy("block").agg(F.max(F.when(F.col("ord") < 0, F.regexp_extract("line", r"^@A (\d+) ", 1).try_cast("long"))).alias("n"), F.count(F.when(F.col("ord") >= 0, 1)).alias("is_n")).filter("n is null or n <> is_n").limit(1).count():
         raise ValueError("rows declared and found differ")
-    cells = lines.filter("ord >= 0").select("block", "ord", split_row("line", F.lit("\t" if level == 3 else ", ")).alias("cells"))
+    cells = lines.filter("ord >= 0").select("block", "ord", split_row(F.col("line"), "\t" if level == 3 else ", ").alias("cells"))
     w = Window.partitionBy("block").orderBy("ord")
     if level == 3:
         cells = cells.select("block", "ord", F.array(*[unrepeat(F.get("cells", F.lit(i)), w) for i in range(n_cols)]).alias("cells"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +15,7 @@ from .operators.ordering import with_ordinal
 from .plans import advisor, document, matrix
 from .sources import presets, render
 from .streaming import stream
+from .tables import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -513,8 +513,7 @@ for _level in (1, 2, 3):
 
 @query("SELECT * FROM events")
 def stream_roundtrip(spark, d):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="plyfold-")
-    at = f"{base}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     src = spark.readStream.schema(T(spark, d, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*.parquet")
     stream.stream_encode(src, "event_id", f"{at}/out", f"{at}/check").awaitTermination()
     return stream.stream_decode(spark, f"{at}/out")

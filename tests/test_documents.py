@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 from decimal import Decimal
 
 import pytest
@@ -25,7 +26,7 @@ def test_golden_sequence_and_dictionary(spark):
     assert "@C fcce1bb1" in plyfold.encode_text(df, "id", level=2, embed_plan=False)
 
 
-NASTY = ["", "-", "~", "null", "true", "1", "0", "42", "-3.5e7", "$0", "$zz", "+1", "%", "x%y", "100% done", "%0;", "^abc", "@N3", "#plan", "a, b", "a\tb", "a\nb", "a\\nb", "\\", '"', 'say "hi"', " lead", "trail ", "[x", "(y", "{z}", "A(b)", "k:v", "naïve", "😀", "prefix-one", "prefix-two", "10000", "100000", "1000000", "\r", "NaN"]
+NASTY = ["", "-", "~", "null", "true", "1", "0", "42", "-3.5e7", "$0", "$zz", "+1", "%", "x%y", "100% done", "%0;", "^abc", "@N3", "#plan", "a, b", "a\tb", "a\nb", "a\\nb", "\\", '"', 'say "hi"', " lead", "trail ", "[x", "(y", "{z}", "A(b)", "k:v", "naïve", "😀", "prefix-one", "prefix-two", "10000", "100000", "1000000", "\r", "NaN", "a, \ufdd0b", "abc\ufdd1def", "\\\\n\\\"", "%%0;%", *(f"x{chr(i)}y" for i in range(1, 32)), "\x7f", "\ufffe"]
 
 
 @pytest.mark.parametrize("level", [1, 2, 3])
@@ -85,3 +86,36 @@ def test_header_round_trip():
     assert (got.fields, got.dictionary, got.templates, got.fragments, got.rows) == (h.fields, h.dictionary, h.templates, h.fragments, h.rows)
     values = ["", "a", ",", '"', "\\", "\t"]
     assert split_values(", ".join(map(quote_value, values))) == values
+
+
+def test_any_text_comes_back(spark):
+    """Quotes and fragments: random texts of the characters that they give a meaning, and of non-characters."""
+    from plyfold.functions import scalars
+    from plyfold.operators import substrings
+
+    r = random.Random(4)
+    texts = ["".join(r.choice('ab%01;\\"nrt\n\t ,\ufdd0\ufdd1') for _ in range(r.randrange(1, 24))) for _ in range(3000)] + ["\ufdd0%1;", "a, \ufdd0b"]
+    fragments = ["%1;ab", "\ufdd1a%", '\\"n', "ab"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    cell = substrings.apply(F.col("t"), fragments)
+    same = substrings.expand(cell, fragments) == F.col("t"), scalars.unquoted(scalars.quoted(F.col("t"))) == F.col("t"), substrings.expand(scalars.unquoted(scalars.quoted(cell)), fragments) == F.col("t")
+    assert df.filter(~(same[0] & same[1] & same[2])).collect() == []
+
+
+def test_lines_are_cut_alike(spark):
+    """The patterns for flat lines cut as the scanner does."""
+    from plyfold.plans.document import split_row
+
+    for sep in (", ", "\t"):
+        cells = [["a", "b"], ['""', "x"], ['"a, b"', "-", '"c\td"'], ["a"], ['"q\\"x, y"', "z"], ["x y", '"[a, b"', "w"], ["~", "~"], ['"a"', '"b"']]
+        df = spark.createDataFrame([(sep.join(c),) for c in cells], "line string")
+        for flat in (True, False):
+            assert [list(r.c) for r in df.select(split_row(F.col("line"), sep, flat).alias("c")).collect()] == cells
+
+
+def test_queries_of_one_session(spark, sf):
+    """Functions that have run before don't stand in the way of later ones."""
+    from plyfold.queries import QUERIES
+
+    for name in ("uuid_base62", "key_value_read", "inline_roundtrip", "matrix_roundtrip", "stream_roundtrip", *(f"roundtrip_l{i}_customer" for i in (1, 2, 3))):
+        assert QUERIES[name](spark, sf).count() > 0
