@@ -2,59 +2,28 @@
 
 from __future__ import annotations
 
-import gc
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dir: dict[str, str] = {}
+from ..tables import discard, materialize, shared_dir
 
+BATCH_BYTES = 8 << 20  # Arrow batches that go to Python hold about so many bytes, so that long texts fit with their copies
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if given:
-        return given.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="plyfold-")
-    return _own_dir[app]
 
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors, and lets go of the shuffle files behind it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plyfold/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._plyfold_path = path
-    release(spark)
-    return back
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark remove shuffle files and broadcasts that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete tables that materialize() wrote and that no later step reads."""
-    for df in frames:
-        path = getattr(df, "_plyfold_path", None)
-        if path:
-            sc = df.sparkSession.sparkContext
-            p = sc._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on the bytes of an Arrow batch to BATCH_BYTES, where it is higher."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, f"{64 << 20}")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, text string): other columns go, a null text becomes empty."""
+    """(doc_id long, text string): other columns go, a null text becomes empty. The session's Arrow batches are bounded from here on."""
+    bounded_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
@@ -92,3 +61,5 @@ def partitions(spark: SparkSession) -> int:
 
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+__all__ = ["as_bytes", "binary_parts", "bounded_batches", "discard", "materialize", "partitions", "shared_dir", "spans", "table", "texts"]
