@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from xxhash import xxh64_intdigest
 
@@ -102,15 +103,17 @@ def plain_removal(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [100_000, 1])
-def test_repeats_against_brute_force(spark, hot):
+@pytest.mark.parametrize("seen", [256, 12, 2])
+def test_repeats_against_brute_force(spark, seen, monkeypatch):
+    """Without hot anchors, with some, and with all of them hot."""
+    monkeypatch.setattr(suffix, "SEEN", seen)
     r = random.Random(3)
     make = lambda n: "".join(r.choice("abcdefgh é\n") for _ in range(n))
     shared, long = make(300), make(2500)
     texts = [(0, None), (1, ""), (2, make(99)), (3, "a" * 400), (4, "ab" * 300), (5, long), (6, long), (7, long[:1200] + "X" + long[1201:])]
     texts += [(10 + i, make(r.randrange(200)) + shared[r.randrange(50) :][: 250 - i] + make(r.randrange(200))) for i in range(30)]
     texts += [(50, shared + make(10) + shared), (51, make(100)), (52, long[100:1100] + long[100:1100])]
-    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix.remove_repeats(spark.createDataFrame(rows(texts), SCHEMA), hot=hot).collect()}
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix.remove_repeats(spark.createDataFrame(rows(texts), SCHEMA), hot=2).collect()}
     assert got == plain_removal(texts, 100)
 
 
@@ -123,15 +126,16 @@ def test_repeats_edge_rows(spark):
     assert len({(x.n_removed, x.kept_sha256) for x in twice}) == 1
 
 
-@pytest.mark.parametrize("hot", [100_000, 1])
-def test_repeated_rows_keep_a_copy(spark, hot):
+@pytest.mark.parametrize("seen", [256, 2])
+def test_repeated_rows_keep_a_copy(spark, seen, monkeypatch):
     """Against brute force on the rows once each: a repeated row stands where the first one does."""
+    monkeypatch.setattr(suffix, "SEEN", seen)
     r = random.Random(10)
     make = lambda n: "".join(r.choice("abcdefgh é\n") for _ in range(n))
     shared, same = make(300), make(900)
     texts = [(5, same), (6, make(50) + shared + make(70)), (7, make(200) + shared + same[100:400]), (9, make(80) + shared[20:] + make(30) + shared[:180])]
     frame = spark.createDataFrame(rows(texts * 3), SCHEMA).repartition(3)
-    got = [(x.doc_id, (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256)) for x in suffix.remove_repeats(frame, hot=hot).collect()]
+    got = [(x.doc_id, (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256)) for x in suffix.remove_repeats(frame, hot=2).collect()]
     want = plain_removal(texts, 100)
     assert sorted(got) == sorted([*want.items()] * 3) and want[5][1] == 0 and want[7][1] > 500
 
@@ -141,8 +145,31 @@ def test_column_wise_construction():
     m = rng.integers(97, 100, (60, 40)).astype(np.uint8)
     m[30:] = m[:30]
     m[40:, :7] = 98
-    for c, order, lcp in suffix.column_wise(m):
+    for c, order, lcp, before in suffix.column_wise(m):
         tails = [m[i, c:].tobytes() for i in order]
         assert tails == sorted(tails)
         common = lambda a, b: next((k for k in range(len(a)) if a[k] != b[k]), len(a))
         assert lcp.tolist() == [0, *(common(a, b) for a, b in zip(tails, tails[1:]))]
+        assert before.tolist() == ([m[i, c - 1] for i in order] if c else [0] * 60)
+
+
+def test_transform_gives_the_strings_back(spark):
+    """The rounds in the table are the collection's transform: stable sorts by it lead from each round to the one before."""
+    r = random.Random(12)
+    texts = [bytes(r.choice(b"ab") for _ in range(r.randrange(100, 151))) for _ in range(50)]
+    found = spark.createDataFrame([(i % 3, i, 0, len(t) - 100, 50, bytearray(t)) for i, t in enumerate(texts)], "h long, doc_id long, lo int, hi int, at int, context binary")
+    for chunk in (1, 20, 1000):
+        rounds = suffix.compared(found, 100, chunk=chunk).filter("round is not null").collect()
+        back = []
+        for first in {x.first for x in rounds}:
+            mine = {x.round: np.frombuffer(x.symbols, np.uint8) for x in rounds if x.first == first}
+            assert sorted(mine) == list(range(168))
+            n = len(mine[0])
+            out, place = np.zeros((n, 168), np.uint8), np.arange(n)  # row i of the final order, followed back to where it stood
+            for c in range(167):
+                by = np.argsort(mine[c + 1], kind="stable")
+                out[:, c] = mine[c + 1][by][place]
+                place = by[place]
+            back += [x.tobytes()[:167] for x in out]
+        want = [suffix.laid_out(np.array([50]), np.array([0]), pa.array([t]), 100)[0, :167].tobytes() for t in texts]
+        assert sorted(back) == sorted(want)
