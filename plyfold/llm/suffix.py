@@ -24,7 +24,7 @@ from .common import as_bytes, binary_parts, discard, materialize, partitions, sp
 U64 = np.uint64
 GRAM = 32
 CHUNK = 512 << 10  # bytes hashed at once; twice as many are under 2 ** 24, as places in a chunk take 24 bits
-SEEN = 256  # contexts of a hot anchor that the sample should hold
+SEEN = 64  # contexts of a hot anchor that the sample should hold
 MOST_HOT = 100_000  # hot anchors that go to every task
 
 
@@ -349,7 +349,7 @@ def kept(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, hot: int = 10_000) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, hot: int = 2_000) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) for every row: what is left without strings of `length` bytes that start earlier.
 
     Earlier means a smaller doc_id, or the same and a smaller start. Matches never cross rows, and strings are judged on the

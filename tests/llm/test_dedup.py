@@ -103,7 +103,7 @@ def plain_removal(texts, length):
     return out
 
 
-@pytest.mark.parametrize("seen", [256, 12, 2])
+@pytest.mark.parametrize("seen", [64, 12, 2])
 def test_repeats_against_brute_force(spark, seen, monkeypatch):
     """Without hot anchors, with some, and with all of them hot."""
     monkeypatch.setattr(suffix, "SEEN", seen)
@@ -126,7 +126,7 @@ def test_repeats_edge_rows(spark):
     assert len({(x.n_removed, x.kept_sha256) for x in twice}) == 1
 
 
-@pytest.mark.parametrize("seen", [256, 2])
+@pytest.mark.parametrize("seen", [64, 2])
 def test_repeated_rows_keep_a_copy(spark, seen, monkeypatch):
     """Against brute force on the rows once each: a repeated row stands where the first one does."""
     monkeypatch.setattr(suffix, "SEEN", seen)
