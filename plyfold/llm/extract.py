@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 # Element names of HTML, and words that name page furniture in class, id and role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -18,25 +22,32 @@ CONTENT = frozenset("article main".split())
 FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot banner banners breadcrumb breadcrumbs comment comments commentlist cookie cookies cookiebar consent disqus footer form header masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar sidebars signup skyscraper social sponsor sponsored subscribe toolbar widget widgets complementary contentinfo alert".split()
 )
+# Words of FURNITURE that also begin names of content (related-work, header-image, search-results): of a longer token, only with one of these behind.
+SOFT = frozenset("alert banner form header notice related reply respond search social widget".split())
+PARTS = frozenset("area articles bar block box button buttons container content field fields icons inner item items link links list main menu message nav panel popup posts section stories top widget wrap wrapper".split())
 # Furniture that may hold a whole page all the same is judged once the page is read; of it, this is never the main text by its size.
 JUDGED = frozenset("nav aside footer form header dialog menu".split())
 ASIDE = frozenset("breadcrumb breadcrumbs comment comments commentlist disqus footer menu menubar nav navbar navigation pager pagination replies reply respond".split())
 PAGE = frozenset("html body".split())
-HEAD = re.compile(r"[a-z]+")
+CLOSING = ("ul", "ol", "article", "section", "div", "main", "body", "table", "blockquote")  # a p or li ends an open one unless one of these is between
+TOKEN = re.compile(r"([a-z]+)(?:[-_]+([a-z]+))?")
 
 
 def furniture(value: str) -> set[str]:
-    """The words of FURNITURE that a token of a class, id or role is or begins with (share-buttons, but not has-comments)."""
-    return FURNITURE.intersection(m[0] for m in map(HEAD.match, value.lower().split()) if m)
+    """The words of FURNITURE that a token of a class, id or role is or begins with (share-buttons, but neither has-comments nor related-work)."""
+    found = (m for m in map(TOKEN.match, value.lower().split()) if m and m[1] in FURNITURE)
+    return {m[1] for m in found if m[1] not in SOFT or m[2] is None or m[2] in PARTS}
 
 
 class Lines(HTMLParser):
-    """Cuts a page into lines, one for each block of text, with its tag count and where it stands."""
+    """Cuts a page into lines, one for each block of text, with its tag count and where it stands. Time is linear in the page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int]] = []  # name, hidden, box
-        self.boxes: list[int] = [-1]  # each box's parent
+        self.places: dict[str, list[int]] = defaultdict(list)  # of each name, where it stands in `open`
+        self.blocks: list[int] = []  # places of names that an inline element's end does not reach over
+        self.boxes: list[int] = [-1]  # each box's parent, which always has a smaller number
         self.content: set[int] = set()
         self.main: set[int] = set()  # those that are not article
         self.titles: set[int] = set()  # boxes of h1
@@ -44,6 +55,29 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, int]] = []  # text, tags, box
         self.text: list[str] = []
         self.tags = 0
+        self.endless = False
+
+    def parse_html_declaration(self, i):
+        """Declarations that the parser has no rule for are comments up to the next >."""
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
+    def parse_comment(self, i, report=1):
+        """Once a comment has no end, no later one has: they are not looked for again."""
+        end = -1 if self.endless else super().parse_comment(i, report)
+        self.endless = end < 0
+        return end
+
+    def read(self, html: str) -> None:
+        """The whole page. Behind its last > no tag can end, so that is text."""
+        end = html.rfind(">") + 1
+        self.feed(html[:end])
+        self.close()
+        if self.cdata_elem is None:
+            self.handle_data(unescape(html[end:]))
+        self.flush()
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -63,12 +97,14 @@ class Lines(HTMLParser):
         if tag not in INLINE:
             self.flush()
             if tag == "p" or tag == "li":
-                self.shut(tag, limit=("ul", "ol", "article", "section", "div", "main", "body", "table", "blockquote"))
+                wall = max((self.places[t][-1] for t in CLOSING if self.places[t]), default=-1)
+                if self.places[tag] and self.places[tag][-1] > wall:
+                    self.cut(self.places[tag][-1])
         hidden = bool(self.open and self.open[-1][1])
         box = self.open[-1][2] if self.open else 0
         exempt = tag in CONTENT or tag in PAGE or ("role", "main") in attrs
         looks = set() if exempt else {w for name, value in attrs if name in ("class", "id", "role") and value for w in furniture(value)}
-        judged = tag in JUDGED and not exempt and (tag != "header" or not self.inside())
+        judged = tag in JUDGED and not exempt and (tag != "header" or not any(self.places[t] for t in CONTENT))
         if not hidden:
             hidden = tag in SKIPPED and tag not in JUDGED or bool(looks) and tag in INLINE or not exempt and any(name == "hidden" for name, _ in attrs)
         if tag not in INLINE and (tag not in ("p", "li") or looks):
@@ -82,6 +118,9 @@ class Lines(HTMLParser):
                     self.main.add(box)
             if tag == "h1":
                 self.titles.add(box)
+        self.places[tag].append(len(self.open))
+        if tag not in INLINE and tag != "p":
+            self.blocks.append(len(self.open))
         self.open.append((tag, hidden, box))
 
     def handle_startendtag(self, tag, attrs):
@@ -89,32 +128,44 @@ class Lines(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
-    def inside(self) -> bool:
-        return bool(self.open) and any(t in CONTENT for t, _, _ in self.open)
-
-    def shut(self, tag: str, limit: tuple[str, ...]) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                return
-            if self.open[k][0] in limit:
-                return
+    def cut(self, place: int) -> None:
+        """Close all that is open from a place on."""
+        while len(self.open) > place:
+            self.places[self.open.pop()[0]].pop()
+        while self.blocks and self.blocks[-1] >= place:
+            self.blocks.pop()
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag not in INLINE:
             self.flush()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                return
-            if tag in INLINE and self.open[k][0] not in INLINE and self.open[k][0] != "p":
-                return
+        if self.places[tag] and (tag not in INLINE or not self.blocks or self.places[tag][-1] > self.blocks[-1]):
+            self.cut(self.places[tag][-1])
 
     def handle_data(self, data):
         if not (self.open and self.open[-1][1]):
             self.text.append(data)
 
+    def below(self, boxes) -> list[bool]:
+        """Of every box, whether it is one of `boxes` or in one."""
+        out = [False] * len(self.boxes)
+        for b, parent in enumerate(self.boxes):
+            out[b] = b in boxes or parent >= 0 and out[parent]
+        return out
+
+    def above(self, weight: list[int]) -> list[int]:
+        """Sums of weights over every box and all in it."""
+        out = list(weight)
+        for b in range(len(out) - 1, 0, -1):
+            out[self.boxes[b]] += out[b]
+        return out
+
+    def count(self, boxes) -> list[int]:
+        out = [0] * len(self.boxes)
+        for b in boxes:
+            out[b] += 1
+        return out
+
 
 def smoothed(x: list[float], sigma: float) -> list[float]:
     """Gaussian smoothing; at the ends the weights that are left are scaled up."""
@@ -141,27 +192,24 @@ def threshold(x: list[float]) -> float:
     return cut
 
 
-def judge(p: Lines, up) -> tuple[set[int], bool]:
+def judge(p: Lines) -> tuple[set[int], bool]:
     """(boxes that look like furniture and are none, whether that was found only by article elements in them).
 
     They hold a main element, or over half of the text that isn't in menus, comments and the like; or, if no content element
     would show, an article.
     """
-    weight = [0] * len(p.boxes)
-    total = 0
+    never = p.below({b for b, may in p.furniture.items() if not may})
+    size = [0] * len(p.boxes)
     for t, _, box in p.lines:
-        if all(p.furniture.get(b, True) for b in up(box)):
-            total += len(t)
-            for b in up(box):
-                weight[b] += len(t)
-    full = {b for _, _, box in p.lines for b in up(box)}
-    lifted = {b for m in p.main & full for b in up(m) if b in p.furniture}
-    lifted |= {b for b, may in p.furniture.items() if may and 2 * weight[b] > total}
-    for _, _, box in p.lines:
-        above = set(up(box))
-        if above & p.content and not above & (p.furniture.keys() - lifted):
-            return lifted, False
-    inner = {b for c in p.content & full if all(p.furniture.get(b, True) for b in up(c)) for b in up(c) if b in p.furniture}
+        size[box] += 0 if never[box] else len(t)
+    weight, lines = p.above(size), p.above(p.count(box for _, _, box in p.lines))
+    mains = p.above(p.count(b for b in p.main if lines[b]))
+    lifted = {b for b in p.furniture if mains[b]} | {b for b, may in p.furniture.items() if may and 2 * weight[b] > weight[0]}
+    off, content = p.below(p.furniture.keys() - lifted), p.below(p.content)
+    if any(content[box] and not off[box] for _, _, box in p.lines):
+        return lifted, False
+    held = p.above(p.count(b for b in p.content if lines[b] and not never[b]))
+    inner = {b for b in p.furniture if held[b]}
     return lifted | inner, not inner <= lifted
 
 
@@ -171,41 +219,37 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     Furniture (menus, forms, adverts and so on, by element, class, id or role) is left out, unless judge() finds the page itself
     in it. The smoothed text-to-tag ratios of the other lines are cut into two clusters. The region is all article and main
     elements, or else the smallest box that holds all lines of the upper cluster and the h1. All lines of the region are its
-    text, short ones too.
+    text, short ones too. Any text is a page: what is no markup is content, and declarations without a rule are comments.
     """
     p = Lines()
-    p.feed(html)
-    p.close()
-    p.flush()
-
-    def up(box: int):
-        while box >= 0:
-            yield box
-            box = p.boxes[box]
-
-    lifted, wide = judge(p, up) if p.furniture else (set(), False)
-    off = p.furniture.keys() - lifted
+    p.read(html)
+    lifted, wide = judge(p) if p.furniture else (set(), False)
+    off = p.below(p.furniture.keys() - lifted)
     lines, more = [], 0
     for t, n, box in p.lines:  # tags of furniture count for the line after it
-        if off and any(b in off for b in up(box)):
+        if off[box]:
             more += n
         else:
             lines.append((t, n + more, box))
             more = 0
     if not lines:
         return ""
-    regions = {b for _, _, box in lines for b in up(box) if b in p.content}
-    if wide or not regions:
+    inside = p.below(p.content)
+    if wide or not any(inside[box] for _, _, box in lines):
         ratio = smoothed([len(t) / max(1, n) for t, n, _ in lines], sigma)
         cut = threshold(ratio)
         chosen = [box for (_, _, box), r in zip(lines, ratio) if r >= cut or box in p.titles]
-        shared = set(up(chosen[0])).intersection(*(up(b) for b in chosen))
-        regions = {max(shared)}
-    return "\n\n".join(t for t, _, box in lines if any(b in regions for b in up(box)))
+        held = p.above(p.count(chosen))
+        inside = p.below({max(b for b, n in enumerate(held) if n == len(chosen))})
+    return "\n\n".join(t for t, _, box in lines if inside[box])
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) for every row; a null or empty page has empty text. Repeated rows come back repeated; other columns are dropped."""
+    """(page_id, url, text, n_chars) for every row; a null or empty page has empty text, null ids and urls stay.
+
+    Repeated rows come back repeated; other columns are dropped; an empty table gives an empty table. See main_text().
+    """
+    bounded_batches(df.sparkSession)
 
     def run(batches):
         for b in batches:

@@ -151,9 +151,35 @@ def test_furniture_words_around_a_page(box, inner):
     assert extract.main_text(html).split("\n\n") == ["Headline", " ".join(LONG.split())]
 
 
+@pytest.mark.parametrize("name", ["related-work", "header-image post", "search-results", "alert-study", "form-and-function"])
+def test_names_that_only_begin_like_furniture(name):
+    html = f'<body><nav>Menu</nav><article><h1>Headline</h1><p>{LONG}</p><div class="{name}"><p>A short block.</p></div><div class="related-posts">Other posts</div><div class="notice">We use cookies</div></article></body>'
+    assert extract.main_text(html).split("\n\n") == ["Headline", " ".join(LONG.split()), "A short block."]
+
+
+@pytest.mark.parametrize("bad", ["<![foo[x]]>", "<![ x ]>", "<!", "<![CDATA[x]]>", "<?php x ?>", "<!-->", "</>", "<>", "<a href='", "<!doctype [<!x>]>"])
+def test_odd_markup_does_not_end_a_page(bad):
+    assert {"before", "after"} <= set(extract.main_text(f"<p>before</p>{bad}<p>'>after</p>").replace("'>", "\n\n").split("\n\n"))
+
+
+def test_time_is_linear_in_the_page():
+    import time
+
+    t = time.time()
+    assert extract.main_text("<div>" * 30_000 + "<p>x" + "</div>" * 30_000) == "x"
+    assert extract.main_text("<p>" + "<span>" * 30_000 + "<p>y" * 5_000).count("y") == 5_000
+    assert extract.main_text("<div>" * 9_000 + "z" + "</b></td>" * 9_000) == "z"
+    for bit in ("<a ", "<!--", '<a href="', "<", "</", "<!["):
+        assert extract.main_text("<p>begin</p>" + bit * 30_000).startswith("begin")
+    assert time.time() - t < 10
+
+
 def test_extract_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "plain", "x"), (None, "u", "<p>a</p><p>b &lt; c", "x"), (4, "u", "<article><p>cut off &am", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in extract.extract(df).collect()) == [(0, "a\n\nb < c", 8), (1, "", 0), (2, "", 0), (3, "plain", 5), (4, "cut off &am", 11)]
+    assert extract.extract(df.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, "u", "<p>a")] * 2 + [(2, None, "<p>" + "word " * 500_000)], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.n_chars) for r in extract.extract(twice).collect()) == [(1, 1), (1, 1), (2, 2_499_999)]
 
 
 # quality
@@ -237,6 +263,27 @@ def test_grammar_round_trip():
             assert (s.ids(a, b) == ids[a:b]).all()
 
 
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(5)
+    ids = np.concatenate([np.tile(rng.integers(0, 300, k), 40) for k in (2, 3, 5, 60)] + [rng.integers(0, 300, 20_000)]).astype(np.uint16)
+    for per_round in (1, 7, 4096):
+        stream, rules = repair.grammar(ids, 300, per_round)
+        pairs = np.unique(stream[:-1].astype(np.int64) << 16 | stream[1:], return_counts=True)[1]
+        assert pairs.max() < 16 and len(rules) > 20
+        assert (repair.Shard(repair.write_shard(np.array([1]), np.array([1]), np.array([len(ids)]), ids, 300)).ids() == ids).all()
+
+
+def test_pieces_are_encoded_as_in_the_whole_text():
+    from pathlib import Path
+
+    r = random.Random(13)
+    code = repair.Encoder(Path(queries.vocabulary()).read_text())
+    bits = ["a", "it", "'s", "'", "’", "é", "Ü", "...", "$$$", "%", "-", "42", "x1", "_", "\n", " ", "  ", ",", "(", ")", "日本", "ª", "́", "don't", "!!", "\t", "\0", "```", "<|endoftext|>"]
+    for _ in range(3000):
+        t = "".join(r.choice(bits) + r.choice(["", "", " "]) for _ in range(r.randrange(1, 12)))
+        assert code(t) == code.whole(t), t
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
