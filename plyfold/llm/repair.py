@@ -8,9 +8,11 @@ import sys
 import types
 import zlib
 from array import array
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,28 +29,30 @@ class Encoder(dict):
 
     The vocabulary's pattern never joins a word to the white space after it. So a text without two white-space characters in a
     row, and none but space and line feed, is cut before each of these, and each piece is encoded once. Other texts go to the
-    tokenizer whole: such a piece is never remembered, so it is met as a missing one, and raises Odd. A full stop or comma after a
-    letter is a piece of its own.
+    tokenizer whole: such a piece is never remembered, so it is met as a missing one, and raises Odd. ASCII marks that end a piece
+    after a letter are a piece of their own; an apostrophe is not, as the pattern may join it to letters.
     """
 
     class Odd(Exception):
         pass
 
     space = re.compile(r"\s")
+    marks = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
     most = 800_000
 
-    def __init__(self, path: str):
+    def __init__(self, vocabulary: str):
         super().__init__()
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(vocabulary)
         self.model = self.tokenizer.model
         if self.tokenizer.get_vocab_size() > 65_536:
             raise ValueError("ids of over 16 bits")
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # byte-level alphabet: these bytes are themselves, others follow from 256
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: 256 + i for i, b in enumerate(hidden)}
-        self.line = self.whole("\n")
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.line, self.gap = self.whole("\n"), chr(self.letters[ord(" ")])
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
@@ -58,13 +62,15 @@ class Encoder(dict):
         return array("H", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
+        if piece.isalpha():
+            ids = self[piece] = array("H", [t.id for t in self.model.tokenize(self.gap + piece)]).tobytes() if piece.isascii() else self.word(" " + piece)
+            return ids
         lead = piece[:1]
         if piece in ("", "\n") or self.space.search(piece, lead == "\n"):
             raise self.Odd
-        if len(piece) > 1 and piece[-1] in ",." and piece[-2].isalpha():
-            ids = self[piece[:-1]] + self["\0" + piece[-1]]
-        elif piece.isalpha():
-            ids = self.word(" " + piece)
+        head = piece.rstrip(self.marks)
+        if len(head) < len(piece) and head[-1:].isalpha() and not any(x in piece for x in self.added):
+            ids = self[head] + self["\0" + piece[len(head) :]]
         elif lead in "\n\0" and piece[1:].isalpha():
             ids = (self.line if lead == "\n" else b"") + self.word(piece[1:])
         else:
@@ -86,50 +92,56 @@ class Encoder(dict):
             return self.whole(text)
 
 
-def encoder(path: str) -> Encoder:
-    """One Encoder per process and vocabulary file."""
+def encoder(vocabulary: str) -> Encoder:
+    """One Encoder per process and vocabulary (the text of its file)."""
     held = sys.modules.setdefault("_plyfold_encoders", types.ModuleType("_plyfold_encoders")).__dict__
-    if path not in held:
-        held[path] = Encoder(path)
-    return held[path]
+    key = f"{zlib.crc32(vocabulary.encode()):08x}-{len(vocabulary)}"
+    if key not in held:
+        held[key] = Encoder(vocabulary)
+    return held[key]
 
 
-def grammar(ids: np.ndarray, base: int, rounds: int = 3, per_round: int = 2048, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
+def grammar(ids: np.ndarray, base: int, per_round: int = 8192, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """(stream, rules): ids with frequent pairs replaced by nonterminals base, base + 1, ...; rules[i] is the pair that base + i stands for.
 
-    Each round counts all neighbouring pairs by hash, makes rules of the most frequent ones and replaces them from the left, so that a
-    later round pairs nonterminals too. All symbols stay under 2 ** 16.
+    Each round counts all neighbouring pairs by hash, makes rules of up to `per_round` of the most frequent ones and replaces them
+    from the left, so that a later round pairs nonterminals too. When hashes show no more, the pairs that share a frequent hash
+    are counted one by one. Rounds go on until no pair occurs `least` times, or all symbols under 2 ** 16 are taken.
     """
     x, rules = ids.astype(np.uint32), []
-    for _ in range(rounds):
-        room = min(per_round, 65_536 - base - len(rules))
-        if len(x) < 2 or room <= 0:
-            break
+    while len(x) > 1 and (room := min(per_round, 65_536 - base - len(rules))) > 0:
         key = x[:-1] << np.uint32(16) | x[1:]
         slot = (key * np.uint32(0x9E3779B1)) >> np.uint32(14)
         count = np.bincount(slot, minlength=SLOTS)
         floor = max(least, int(np.partition(count, -room)[-room]))
         at = np.flatnonzero((count >= floor)[slot])
-        key, slot = key[at], slot[at]
+        few, slot = key[at], slot[at]
         pair = np.zeros(SLOTS, np.uint32)
-        pair[slot] = key  # a pair of every frequent slot; most often the most frequent
-        hit = pair[slot] == key
+        pair[slot] = few  # a pair of every frequent hash; most often the most frequent
+        hit = pair[slot] == few
         count = np.bincount(slot[hit], minlength=SLOTS)
         top = np.argsort(-count, kind="stable")[:room]
         top = top[count[top] >= least]
-        if not len(top):
-            break
-        rule = np.full(SLOTS, -1, np.int32)
-        rule[top] = np.arange(len(top))
-        k = rule[slot]
-        hit &= k >= 0
-        at, k = at[hit], k[hit]
+        if len(top):
+            rule = np.full(SLOTS, -1, np.int32)
+            rule[top] = np.arange(len(top))
+            made, k = pair[top], np.where(hit, rule[slot], -1)
+        else:
+            found, place, count = np.unique(few, return_inverse=True, return_counts=True)
+            top = np.argsort(-count, kind="stable")[:room]
+            top = top[count[top] >= least]
+            if not len(top):
+                break
+            rule = np.full(len(found), -1, np.int32)
+            rule[top] = np.arange(len(top))
+            made, k = found[top], rule[place]
+        at, k = at[k >= 0], k[k >= 0]
         begins = np.append(True, at[1:] != at[:-1] + 1)
         place = np.arange(len(at))
         keep = (place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0
         at, k = at[keep], k[keep]
         x[at] = (base + len(rules) + k).astype(np.uint32)
-        rules += [(p >> 16, p & 0xFFFF) for p in pair[top].tolist()]
+        rules += [(p >> 16, p & 0xFFFF) for p in made.tolist()]
         stay = np.ones(len(x), bool)
         stay[at + 1] = False
         x = x[stay]
@@ -209,11 +221,11 @@ class Shard:
         return part[start - self.places[a] : stop - self.places[a]]
 
 
-def encoded(docs: DataFrame, path: str, bounds: list[int], end_id: int) -> DataFrame:
+def encoded(docs: DataFrame, vocabulary: Broadcast, bounds: list[int], end_id: int) -> DataFrame:
     """(range, doc_id, ids binary) of (doc_id, text); `bounds` are the first doc ids of every range but the first."""
 
     def run(batches):
-        code, edge, end = encoder(path), np.array(bounds, np.int64), struct.pack("<H", end_id)
+        code, edge, end = encoder(vocabulary.value), np.array(bounds, np.int64), struct.pack("<H", end_id)
         for b in batches:
             ids = pa.array([code(t) + end for t in b.column(1).to_pylist()], pa.binary())
             key = b.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
@@ -227,15 +239,17 @@ def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     Each text's ids end with `end_id`; a null text is empty. Null ids come first; of rows with one doc_id the one with smaller
     ids comes first. `before` counts the ids of the range in earlier shards. A shard closes after the document that brings it
-    to `shard_ids` ids. An empty table gives no shard.
+    to `shard_ids` ids. An empty table gives no shard; other columns are dropped. The vocabulary file at `path` is read by the
+    driver, which sends its text (a few MB) to the executors.
     """
     docs = texts(df, id_col, text_col)
+    vocabulary = df.sparkSession.sparkContext.broadcast(Path(path).read_text())
+    base = Encoder(vocabulary.value).tokenizer.get_vocab_size()
     n = min(RANGES, 4 * partitions(df.sparkSession))
     bounds = sorted({int(x) for x in docs.filter("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)})
-    rows = encoded(docs, path, bounds, end_id).repartition(partitions(df.sparkSession), "range").sortWithinPartitions("range", "doc_id", "ids")
+    rows = encoded(docs, vocabulary, bounds, end_id).repartition(partitions(df.sparkSession), "range").sortWithinPartitions("range", "doc_id", "ids")
 
     def run(batches):
-        base = encoder(path).tokenizer.get_vocab_size()
         held: list[tuple] = []
         size = before = shard = 0
         now = None
