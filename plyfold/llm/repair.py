@@ -19,11 +19,23 @@ from pyspark.sql import functions as F
 from .common import materialize, partitions, texts
 
 MAGIC = b"RPG1"
-SLOTS = 1 << 18  # counters of neighbouring pairs
+SLOT_BITS = 18  # 2 ** SLOT_BITS counters of neighbouring pairs at most
 BLOCK = 1024  # symbols between stored places of a shard's stream
 RANGES = 65_536  # most ranges of doc_id; their first places are what goes to every task
 
 
+class Letters(dict):
+    """The byte-level alphabet's text of a character."""
+
+    def __init__(self, hidden: dict[int, int]):
+        super().__init__()
+        self.hidden = hidden
+
+    def __missing__(self, c: str) -> str:
+        shown = self[c] = c.encode().decode("latin-1").translate(self.hidden)
+        return shown
+
+
 class Encoder(dict):
     """Bytes of the ids (16 bits each, little-endian) of a piece of text, remembered.
 
@@ -50,16 +62,16 @@ class Encoder(dict):
             raise ValueError("ids of over 16 bits")
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # byte-level alphabet: these bytes are themselves, others follow from 256
         hidden = [b for b in range(256) if b not in shown]
-        self.letters = {b: 256 + i for i, b in enumerate(hidden)}
+        self.letters = Letters({b: 256 + i for i, b in enumerate(hidden)})
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.line, self.gap = self.whole("\n"), chr(self.letters[ord(" ")])
+        self.line, self.gap = self.whole("\n"), self.letters[" "]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def word(self, text: str) -> bytes:
         """Ids of letters, perhaps after a space, which the pattern keeps together: straight from the vocabulary's merges."""
-        return array("H", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        return array("H", [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, text)))]).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         if piece.isalpha():
@@ -104,42 +116,58 @@ def encoder(vocabulary: str) -> Encoder:
 def grammar(ids: np.ndarray, base: int, per_round: int = 8192, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """(stream, rules): ids with frequent pairs replaced by nonterminals base, base + 1, ...; rules[i] is the pair that base + i stands for.
 
-    Each round counts all neighbouring pairs by hash, makes rules of up to `per_round` of the most frequent ones and replaces them
-    from the left, so that a later round pairs nonterminals too. When hashes show no more, the pairs that share a frequent hash
-    are counted one by one. Rounds go on until no pair occurs `least` times, or all symbols under 2 ** 16 are taken.
+    A round makes rules of frequent pairs and replaces all of these from the left, so that a later round pairs nonterminals too.
+    At first pairs are counted by hash, and the `per_round` most frequent are taken. When hashes show no more, pairs are counted
+    one by one and all that occur `least` times are taken; after that only pairs with a symbol of the last round can be new among
+    the frequent, so only these are counted. Rounds go on until no pair occurs `least` times, or all symbols under 2 ** 16 are taken.
     """
     x, rules = ids.astype(np.uint32), []
-    while len(x) > 1 and (room := min(per_round, 65_536 - base - len(rules))) > 0:
-        key = x[:-1] << np.uint32(16) | x[1:]
-        slot = (key * np.uint32(0x9E3779B1)) >> np.uint32(14)
-        count = np.bincount(slot, minlength=SLOTS)
-        floor = max(least, int(np.partition(count, -room)[-room]))
-        at = np.flatnonzero((count >= floor)[slot])
-        few, slot = key[at], slot[at]
-        pair = np.zeros(SLOTS, np.uint32)
-        pair[slot] = few  # a pair of every frequent hash; most often the most frequent
-        hit = pair[slot] == few
-        count = np.bincount(slot[hit], minlength=SLOTS)
-        top = np.argsort(-count, kind="stable")[:room]
-        top = top[count[top] >= least]
-        if len(top):
-            rule = np.full(SLOTS, -1, np.int32)
-            rule[top] = np.arange(len(top))
-            made, k = pair[top], np.where(hit, rule[slot], -1)
+    exact, fresh = False, 0
+
+    def best(count: np.ndarray, room: int) -> np.ndarray:
+        """Places of the up to `room` largest counts of at least `least`."""
+        some = np.flatnonzero(count >= least)
+        return some if len(some) <= room else some[np.argpartition(count[some], -room)[-room:]]
+
+    while len(x) > 1 and (room := 65_536 - base - len(rules)) > 0:
+        if not fresh:
+            bits = min(SLOT_BITS, max(8, len(x).bit_length() - 3))
+            key = x[:-1] << np.uint32(16) | x[1:]
+            slot = (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
+            count = np.bincount(slot, minlength=1 << bits)
+            hot = np.zeros(1 << bits, bool)
+            hot[best(count, 1 << bits if exact else min(room, per_round))] = True
+            at = np.flatnonzero(hot[slot])
+            few = key[at]
         else:
+            at = np.flatnonzero((x[:-1] >= fresh) | (x[1:] >= fresh))
+            few = x[at] << np.uint32(16) | x[at + 1]
+        if exact:
             found, place, count = np.unique(few, return_inverse=True, return_counts=True)
-            top = np.argsort(-count, kind="stable")[:room]
-            top = top[count[top] >= least]
+            top = best(count, room)
             if not len(top):
                 break
             rule = np.full(len(found), -1, np.int32)
             rule[top] = np.arange(len(top))
-            made, k = found[top], rule[place]
+            made, k, fresh = found[top], rule[place], base + len(rules)
+        else:
+            slot = slot[at]
+            pair = np.zeros(1 << bits, np.uint32)
+            pair[slot] = few  # a pair of every frequent hash; most often the most frequent
+            hit = pair[slot] == few
+            top = best(np.bincount(slot[hit], minlength=1 << bits), min(room, per_round))
+            if not len(top):
+                exact = True
+                continue
+            rule = np.full(1 << bits, -1, np.int32)
+            rule[top] = np.arange(len(top))
+            made, k = pair[top], np.where(hit, rule[slot], -1)
         at, k = at[k >= 0], k[k >= 0]
         begins = np.append(True, at[1:] != at[:-1] + 1)
         place = np.arange(len(at))
         keep = (place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0
         at, k = at[keep], k[keep]
+        exact |= len(at) < len(x) // 64
         x[at] = (base + len(rules) + k).astype(np.uint32)
         rules += [(p >> 16, p & 0xFFFF) for p in made.tolist()]
         stay = np.ones(len(x), bool)

@@ -93,6 +93,39 @@ def test_leaks(spark):
     assert decontaminate.contaminated(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_leaks_against_brute_force(spark):
+    """Every row with every item of which it holds five words in a row, aligned over the whole row by the plain recurrence."""
+    r = random.Random(14)
+    vocabulary = [f"w{i}" for i in range(60)]
+    make = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [make(r.randrange(1, 40)) for _ in range(25)]
+    texts = []
+    for _ in range(120):
+        t = list(r.choice(items))
+        for _ in range(r.randrange(len(t) // 3 + 1)):
+            k = r.randrange(len(t))
+            t[k : k + r.randrange(2)] = make(r.randrange(3))
+        texts.append(make(r.randrange(40)) + t + make(r.randrange(40)) + r.choice([[], list(r.choice(items))[:9]]))
+    want = {}
+    for d, w in enumerate(texts):
+        held = {tuple(w[i : i + n]) for n in range(1, 6) for i in range(len(w) - n + 1)}
+        for i, x in enumerate(items):
+            n = min(5, len(x))
+            if any(tuple(x[k : k + n]) in held for k in range(len(x) - n + 1)) and plain_score(w, x) >= 0.6 * 2 * len(x):
+                want[d, i] = plain_score(w, x) / (2 * len(x))
+    got = {(x.doc_id, x.item_id): x.score for x in decontaminate.contaminated(docs(spark, [(d, " ".join(w)) for d, w in enumerate(texts)]), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()}
+    assert len(want) > 80 and got.keys() <= want.keys()
+    assert sum(abs(got.get(k, 0) - v) < 1e-9 for k, v in want.items()) >= 0.95 * len(want)  # passages far apart are not joined by long gaps
+
+
+def test_leaks_of_long_and_repeated_rows(spark):
+    r = random.Random(15)
+    item = " ".join(f"w{r.randrange(5000)}" for _ in range(30))
+    long = " ".join(f"w{r.randrange(5000)}" for _ in range(200_000))
+    got = decontaminate.contaminated(docs(spark, [(1, long), (2, long + " " + item + " " + long), (3, item), (3, item), (None, item)]), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert sorted((x.doc_id or 0, x.item_id, x.score) for x in got) == [(0, 7, 1.0), (2, 7, 1.0), (3, 7, 1.0), (3, 7, 1.0)]
+
+
 def test_leaks_edited_often(spark):
     """A word in 6, 7 or 8 replaced: runs of 5 to 7 equal words, so no 8 words in a row are left."""
     r = random.Random(8)
