@@ -27,17 +27,17 @@ def words(text: str) -> list[str]:
 
 
 class Code(dict):
-    """64-bit hash of a word, remembered."""
+    """64-bit hash of a word (text, or its bytes), remembered."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str | bytes) -> int:
         from xxhash import xxh64_intdigest
 
         if len(self) > KEPT_WORDS:
             self.clear()
-        h = self[word] = xxh64_intdigest(word.encode(), 7)
+        h = self[word] = xxh64_intdigest(word, 7)
         return h
 
-    def __call__(self, found: list[str]) -> np.ndarray:
+    def __call__(self, found: list) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
 
 

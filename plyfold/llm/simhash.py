@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, discard, materialize, partitions, texts
 from .components import components
+from .decontaminate import Code, gram_hashes
 
 BITS = 64
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -31,13 +32,26 @@ def fingerprint(data: bytes, words: int = 4, seed: int = 42) -> int:
         size = np.fromiter(map(len, w), np.int64, len(w))
         end = np.cumsum(size + 1) - 1
         hashes = [xxh(s[a:b], seed) for a, b in zip((end - size)[: len(w) - words + 1].tolist(), end[words - 1 :].tolist())]
-    h = np.array(hashes, dtype="<u8")
+    return bit_majority(np.array(hashes, dtype=np.uint64))
+
+
+def bit_majority(h: np.ndarray) -> int:
+    """The number whose bits are those set in over half of the hashes."""
     total = np.zeros(BITS, np.int64)
     for i in range(0, len(h), 255):  # sums of at most 255 fit in a byte
-        total += np.add.reduce(np.unpackbits(h[i : i + 255].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+        total += np.add.reduce(np.unpackbits(h[i : i + 255].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
     return int(np.packbits(2 * total > len(h), bitorder="little").view("<u8")[0])
 
 
+def three_prints(w: np.ndarray, words: int = 5) -> tuple[int, int, int]:
+    """SimHash of the different two-word shingles, and two by independent hashes of the shingles of `words` words, from word hashes."""
+    if not len(w):
+        return 0, 0, 0
+    long = gram_hashes(w, min(words, len(w)))
+    other = (long ^ (long >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return bit_majority(np.unique(gram_hashes(w, min(2, len(w))))), bit_majority(long), bit_majority(other ^ (other >> np.uint64(32)))
+
+
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp long: the 64 bits as a signed number) for every row of (doc_id, text)."""
 
@@ -118,8 +132,11 @@ def within(p: np.ndarray, d: int, valid: np.ndarray, radius: int) -> np.ndarray:
     return live[word] * 64 + bit
 
 
-def local_links(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by group: (row, root row) for every row linked in its group, one edge per row however many pairs there are."""
+def local_links(group: np.ndarray, fp: np.ndarray, radius: int, more: list[np.ndarray] | None = None, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by group: (row, root row) for every row linked in its group, one edge per row however many pairs there are.
+
+    With `more` fingerprints a pair links only if these differ in at most `most` bits together as well.
+    """
     n = len(fp)
     root = np.arange(n)
     if n < 2:
@@ -134,6 +151,8 @@ def local_links(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndar
         bits = np.zeros(p.shape[1] * 64, np.uint8)
         bits[:n] = ok
         i = within(p, d, np.packbits(bits, bitorder="little").view("<u8"), radius)
+        if more:
+            i = i[sum(np.bitwise_count(m[i] ^ m[i + d]).astype(np.int64) for m in more) <= most]
         i, j = root[i], root[i + d]
         while len(i := i[(far := i != j)]):
             j = j[far]
@@ -146,16 +165,18 @@ def local_links(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndar
     return row, root[row]
 
 
-def links(reps: DataFrame, radius: int = 4, tile: int = 20_000, chunk: int = 65_536) -> DataFrame:
-    """(u, v) edges that connect exactly what links within `radius` connect, from (rep long, fp long) with distinct fp.
+def links(reps: DataFrame, radius: int = 4, tile: int = 20_000, chunk: int = 65_536, most: int = 0) -> DataFrame:
+    """(u, v) edges that connect exactly what links within `radius` connect, from (rep long, fp long) with distinct rows.
+
+    Columns after fp are further fingerprints; a pair also has to agree in all but `most` of their bits.
 
     Each mask of plan() deals the fingerprints into buckets; pairs within the radius share at least one. Only edges from a row
     to its root inside the bucket leave a task. A bucket of over `tile` rows is cut into tiles, and each two tiles meet in a
     bucket of their own, so no bucket is skipped and none holds over about 2 * tile rows.
     """
-    spark = reps.sparkSession
+    spark, more = reps.sparkSession, [c for c in reps.columns if c not in ("rep", "fp")]
     keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("key")) for t, m in enumerate(plan(reps.count(), radius))])
-    dealt = reps.select("rep", "fp", F.explode(keys).alias("k")).select("rep", "fp", "k.t", "k.key")
+    dealt = reps.select("rep", "fp", *more, F.explode(keys).alias("k")).select("rep", "fp", *more, "k.t", "k.key")
     big = dealt.groupBy("t", "key").count().filter(F.col("count") > tile).select("t", "key", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
     big = materialize(big, "big-buckets")
     if big.isEmpty():
@@ -164,17 +185,18 @@ def links(reps: DataFrame, radius: int = 4, tile: int = 20_000, chunk: int = 65_
         dealt = dealt.join(big, ["t", "key"], "left").withColumn("mine", F.pmod(F.xxhash64("fp"), F.coalesce("tiles", F.lit(1))).cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1))
         dealt = dealt.withColumn("other", other).withColumn("pair", F.least("mine", "other") * 65_536 + F.greatest("mine", "other"))
-    dealt = dealt.select(F.xxhash64("t", "key", "pair").alias("bucket"), "rep", "fp")
+    dealt = dealt.select(F.xxhash64("t", "key", "pair").alias("bucket"), "rep", "fp", *more)
     dealt = dealt.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "fp")
 
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []
 
         def out(parts, final):
-            bucket, rep, fp = (np.concatenate(x) for x in zip(*parts))
+            bucket, rep, *fps = (np.concatenate(x) for x in zip(*parts))
             cut = len(bucket) if final else int(np.searchsorted(bucket, bucket[-1]))
-            row, root = local_links(bucket[:cut], fp[:cut].view(np.uint64), radius)
-            return pa.RecordBatch.from_arrays([pa.array(rep[row]), pa.array(rep[root])], ["u", "v"]), [(bucket[cut:], rep[cut:], fp[cut:])]
+            fp, *others = (x[:cut].view(np.uint64) for x in fps)
+            row, root = local_links(bucket[:cut], fp, radius, others, most)
+            return pa.RecordBatch.from_arrays([pa.array(rep[row]), pa.array(rep[root])], ["u", "v"]), [(bucket[cut:], rep[cut:], *(x[cut:] for x in fps))]
 
         for b in batches:
             held.append(tuple(c.to_numpy(zero_copy_only=False) for c in b.columns))
@@ -201,3 +223,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     discard(reps)
     out = fps.join(named, "fp", "left")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 8) -> DataFrame:
+    """(doc_id, component_id) for every row: texts whose SimHashes of `words`-word shingles agree in `similarity` of 128 bits share a component.
+
+    128 bits can't be searched at the distance that edited copies have. So a pair must also be within `radius` on 64 bits of
+    two-word shingles, which an edit changes less; that search is exact, and texts that differ in both are told apart by 192 bits
+    in all. Words are those of fingerprint(). Null text is empty text; texts without words are equal. Repeated rows come back
+    repeated. A row without doc_id links nothing; its component is that of its fingerprints, or null if no row with these has an
+    id. Other columns are dropped. An empty table gives an empty table.
+    """
+    kind = "doc_id long, fp long, b long, c long"
+
+    def run(batches):
+        code = Code()
+        for batch in batches:
+            fps = np.array([three_prints(code(t.lower().split()), words) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, 3).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in fps.T.copy())], ["doc_id", "fp", "b", "c"])
+
+    fps = materialize(as_bytes(texts(df, id_col, text_col)).mapInArrow(run, kind), "fingerprints")
+    reps = materialize(fps.groupBy("fp", "b", "c").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
+    joined = components(links(reps.filter("rep is not null").select("rep", "fp", "b", "c"), radius, most=int((1 - similarity) * 2 * BITS)))
+    named = reps.join(joined, F.col("rep") == F.col("node"), "left").select("fp", "b", "c", F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(named, ["fp", "b", "c"], "left").select("doc_id", "component_id")

@@ -74,6 +74,62 @@ def test_simhash_tiles_and_edges(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.near_duplicates(same).collect()) == [(-1, -1), (-1, 7), (7, 7), (7, 7)]
 
 
+def plain_prints(text, words=5):
+    w = np.array([xxh64_intdigest(x, 7) for x in (text or "").encode().lower().split()], np.uint64)
+    return simhash.three_prints(w, words)
+
+
+def test_near_copies_against_all_pairs(spark):
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    make = lambda n: [r.choice(words) for _ in range(n)]
+    texts = [(0, None), (1, ""), (2, " \n"), (3, "One two"), (4, "ONE  two"), (5, "one")]
+    for b in range(12):
+        base = make(r.randrange(8, 300))
+        for k in range(8):
+            t = list(base)
+            for _ in range(k * len(t) // 100):
+                t[r.randrange(len(t))] = r.choice(words)
+            texts.append((10 + 10 * b + k, " ".join(t)))
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(spark.createDataFrame(rows(texts), SCHEMA)).collect()}
+    prints = {i: plain_prints(t) for i, t in texts}
+    root = {i: i for i in prints}
+    for i in prints:
+        for j in prints:
+            a, b = prints[i], prints[j]
+            if (a[0] ^ b[0]).bit_count() <= 8 and (a[1] ^ b[1]).bit_count() + (a[2] ^ b[2]).bit_count() <= 25:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    assert got == root and len(set(got.values())) >= 14 and len({got[10 + k] for k in range(8)}) < 8
+
+
+def test_near_copies_recall(spark):
+    """Texts of 60 to 400 words, of which so many words are replaced that 0.8 or more of the five-word shingles stay, and others."""
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(5000)]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    texts, near = [], []
+    for b in range(700):
+        base = [r.choice(words) for _ in range(r.randrange(60, 400))]
+        t = list(base)
+        for _ in range(r.randrange(1, 2 + len(t) // 40)):
+            t[r.randrange(len(t))] = r.choice(words)
+        a, c = shingles(base), shingles(t)
+        texts += [(2 * b, " ".join(base)), (2 * b + 1, " ".join(t))]
+        if len(a & c) / len(a | c) >= 0.8:
+            near.append(2 * b)
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(spark.createDataFrame(rows(texts), SCHEMA)).collect()}
+    assert sum(got[i + 1] == i for i in near) >= 0.9 * len(near) > 300
+    assert all(v in (k, k - 1) for k, v in got.items())
+
+
+def test_near_copies_edges(spark):
+    assert simhash.near_copies(spark.createDataFrame([], SCHEMA)).count() == 0
+    long = "word " * 100_000
+    same = spark.createDataFrame(rows([(7, long), (9, long), (9, long), (None, long), (None, "other words here now"), (3, "")]), SCHEMA)
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.near_copies(same).collect()) == [(-1, -1), (-1, 7), (3, 3), (7, 7), (9, 7), (9, 7)]
+
+
 @pytest.mark.parametrize("radius", [0, 1, 2, 3, 4, 7])
 def test_bit_sliced_distances(radius):
     rng = np.random.default_rng(radius)
