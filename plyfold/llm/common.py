@@ -12,13 +12,19 @@ from pyspark.sql import functions as F
 from ..tables import discard, materialize, shared_dir
 
 BATCH_BYTES = 8 << 20  # Arrow batches that go to Python hold about so many bytes, so that long texts fit with their copies
+READER_ROWS = 512  # rows that Spark's Parquet reader holds at once: their texts are one array
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's limit on the bytes of an Arrow batch to BATCH_BYTES, where it is higher."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, f"{64 << 20}")) > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+    """Lower the session's limits on the bytes of an Arrow batch and on the rows of a Parquet reader's batch, where they are higher.
+
+    The defaults are for narrow rows; with long texts they make arrays of tens of MB for each task, in Python and in the JVM.
+    """
+    arrow, reader = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(arrow, f"{64 << 20}")) > BATCH_BYTES:
+        spark.conf.set(arrow, str(BATCH_BYTES))
+    if int(spark.conf.get(reader, "4096")) > READER_ROWS:
+        spark.conf.set(reader, str(READER_ROWS))
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,6 +59,8 @@ def spans(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; the session's batches are bounded from here on."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
