@@ -97,20 +97,20 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 class Model:
     """p(label | bag) = sigmoid(w . z + b) with z the sum of attention times encoded passages.
 
-    A passage x is encoded as h = tanh(E x + e); its attention is the softmax over the bag of a . (tanh(V h) * sigmoid(U h)).
+    A passage x, the ratios that passages() gives, is encoded as h = tanh(E x + e); its attention is the softmax over the bag of a . (tanh(V h) * sigmoid(U h)).
     """
 
-    def __init__(self, hidden: int = 24, gate: int = 12, seed: int = 7):
+    def __init__(self, hidden: int = 24, gate: int = 12, seed: int = 7, attention: bool = True):
         rng = np.random.default_rng(seed)
         shape = {"E": (FEATURES, hidden), "e": (hidden,), "V": (hidden, gate), "U": (hidden, gate), "a": (gate,), "w": (hidden,), "b": ()}
         self.p = {k: rng.normal(0, 0.3, s) if len(s) else np.zeros(s) for k, s in shape.items()}
-        self.mean, self.scale = np.zeros(FEATURES), np.ones(FEATURES)
+        self.mean, self.scale, self.attention = np.zeros(FEATURES), np.ones(FEATURES), attention
 
     def forward(self, x: np.ndarray, first: np.ndarray, bag: np.ndarray):
         p = self.p
         h = np.tanh((x - self.mean) / self.scale @ p["E"] + p["e"])
         v, u = np.tanh(h @ p["V"]), sigmoid(h @ p["U"])
-        s = (v * u) @ p["a"]
+        s = (v * u) @ p["a"] if self.attention else np.zeros(len(h))  # without attention all passages weigh alike
         s = np.exp(s - np.maximum.reduceat(s, first)[bag])
         att = s / np.add.reduceat(s, first)[bag]
         z = np.add.reduceat(att[:, None] * h, first, axis=0)
