@@ -26,10 +26,11 @@ def numbered(docs: DataFrame, label: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate component: that with the smallest doc_id, null last; equal ids are told apart by a hash of the row.
 
-    Components are those of rows: repeated rows and rows without doc_id are grouped like all others.
+    Near duplicates agree in 0.8 of 128 SimHash bits of five-word shingles. Components are those of rows: repeated rows and rows
+    without doc_id are grouped like all others, and so are rows without words.
     """
     rows = numbered(docs, "rows")
-    groups = simhash.near_duplicates(rows, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    groups = simhash.near_copies(rows, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "__row")
     first = rows.select("__row", order.alias("order")).join(groups, "__row").groupBy("component_id").agg(F.min("order").alias("order"))
     return rows.join(first.select("order.__row"), "__row", "left_semi").select(*docs.columns)
