@@ -82,8 +82,8 @@ def scalar_json(word: str) -> str:
     return word if word in ("true", "false") or NUMBER.fullmatch(word) else json.dumps(word)
 
 
-def to_json(text: str, kind: T.DataType | None = None) -> str:
-    """JSON of an inline value. Name(a, b) becomes an object if its type is known, else an array.
+def to_json(text: str, kind: T.DataType | None = None, names: dict[str, list[str]] | None = None) -> str:
+    """JSON of an inline value. Name(a, b) becomes an object if its type or the fields of its name are known, else an array.
 
     Raises ValueError where a bracket has no end, text is left over, or the nesting is deeper than MAX_DEPTH.
     """
@@ -145,6 +145,9 @@ def to_json(text: str, kind: T.DataType | None = None) -> str:
         if called:
             known = kind.fields if isinstance(kind, T.StructType) else []
             out, i = parts(called.end(), ")", depth, lambda n, _: known[n].dataType if n < len(known) else None)
+            fields = (names or {}).get(called[1])
+            if fields and not known:
+                return "{" + ",".join(f"{json.dumps(f)}:{v}" for f, v in zip(fields, out)) + "}", i
             if known:
                 return "{" + ",".join(f"{json.dumps(f.name)}:{v}" for f, v in zip(known, out)) + "}", i
             return f"[{','.join(out)}]", i

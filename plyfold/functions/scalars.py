@@ -142,6 +142,12 @@ def from_base62(text: str) -> int:
     return out
 
 
+def uuid_text(cell: str) -> str:
+    """Inverse of ^ and base 62: a lower-case UUID."""
+    h = f"{from_base62(cell[1:]):032x}"
+    return "-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:]))
+
+
 def uuid_to_base62(ids: Column) -> Column:
     """^ and the 128-bit number of a lower-case UUID in base 62; 64-bit built-ins can't hold it."""
 
@@ -157,12 +163,6 @@ def base62_to_uuid(cells: Column) -> Column:
 
     @F.pandas_udf(T.StringType())
     def run(values: pd.Series) -> pd.Series:
-        def one(s):
-            if s is None:
-                return None
-            h = f"{from_base62(s[1:]):032x}"
-            return "-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:]))
-
-        return values.map(one)
+        return values.map(lambda s: None if s is None else uuid_text(s))
 
     return run(cells)

@@ -11,19 +11,25 @@ def over(order: str, *block: str):
     return Window.partitionBy(*block).orderBy(order) if block else Window.orderBy(order)
 
 
-def eligibility(df: DataFrame, columns: dict[str, str], order: str, block: str, min_rows: int = 3) -> DataFrame:
+def eligibility(df: DataFrame, columns: dict[str, str], order: str, block: str, min_rows: int = 3, across: bool = False) -> DataFrame:
     """(col, kind, is_const, eligible) of numeric (or whole-microsecond temporal) columns {name: kind}.
 
     A column is worth it if its differences are constant, or on average under half the size of its values; it must have no
-    null and min_rows rows. All columns are measured in one pass.
+    null and min_rows rows. All columns are measured in one pass, in parallel over blocks. Differences restart in each block, or
+    go on `across` blocks: then the step into a block comes from the first and last rows of the blocks, a row for each.
     """
     w = over(order, block)
-    steps = df.select(F.col(block), *[F.col(c).cast("decimal(38,6)").alias(c) for c in columns], *[(F.col(c).cast("decimal(38,6)") - F.lag(F.col(c).cast("decimal(38,6)")).over(w)).alias(f"d_{c}") for c in columns])
+    steps = df.select(F.lit(1).alias("own"), *[F.col(c).cast("decimal(38,6)").alias(c) for c in columns], *[(F.col(c).cast("decimal(38,6)") - F.lag(F.col(c).cast("decimal(38,6)")).over(w)).alias(f"d_{c}") for c in columns])
+    if across:
+        value = lambda c: F.col(c).cast("decimal(38,6)")
+        ends = df.groupBy(block).agg(*[x for c in columns for x in (F.min_by(value(c), order).alias(f"f_{c}"), F.max_by(value(c), order).alias(f"l_{c}"))])
+        into = Window.orderBy(block)
+        steps = steps.unionByName(ends.select(*[(F.col(f"f_{c}") - F.lag(f"l_{c}").over(into)).alias(f"d_{c}") for c in columns]), allowMissingColumns=True)
     stats = []
     for c in columns:
         d = F.col(f"d_{c}")
         stats += [F.count(c).alias(f"n_{c}"), F.min(d).alias(f"lo_{c}"), F.max(d).alias(f"hi_{c}"), F.sum(F.abs(d).cast("double")).alias(f"ad_{c}"), F.count(d).alias(f"nd_{c}"), F.sum(F.abs(F.col(c)).cast("double")).alias(f"av_{c}")]
-    one = steps.agg(F.count("*").alias("rows"), *stats)
+    one = steps.agg(F.count("own").alias("rows"), *stats)
     pick = F.array(*[F.struct(F.lit(c).alias("col"), F.lit(k).alias("kind"), "rows", *[F.col(f"{x}_{c}").alias(x) for x in ("n", "lo", "hi", "ad", "nd", "av")]) for c, k in columns.items()])
     rows = one.select(F.inline(pick))
     const = F.coalesce(F.col("lo") == F.col("hi"), F.lit(False))

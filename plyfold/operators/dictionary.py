@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,12 +37,18 @@ def numbered(entries: DataFrame) -> DataFrame:
 
 
 def lookup(column: Column, refs: list[str]) -> Column:
-    """The reference of a value, or null: a literal map of at most MAX_REFS entries."""
+    """The reference of a value, or null: a literal map, for few entries. references() is the table to join for more."""
     if not refs:
         return F.lit(None).cast("string")
     return F.element_at(F.map_from_arrays(F.array(*map(F.lit, refs)), F.transform(F.sequence(F.lit(0), F.lit(len(refs) - 1)), ref)), column)
 
 
+def references(spark: SparkSession, refs: list[str], name: str) -> DataFrame:
+    """(__value, name): every entry and its reference, MAX_REFS rows at most, to broadcast."""
+    rows = spark.createDataFrame(list(enumerate(refs)), "i long, __value string")
+    return F.broadcast(rows.select("__value", ref(F.col("i")).alias(name)))
+
+
 def encode(df: DataFrame, column: str, entries: DataFrame, out: str = "cell") -> DataFrame:
     """df with `out`: the reference of column's value, or the value. entries has MAX_REFS rows at most and is broadcast."""
     small = F.broadcast(entries.select(F.col("value").alias("__v"), F.col("ref").alias("__r")))

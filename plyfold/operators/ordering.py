@@ -27,4 +27,6 @@ def with_ordinal(df: DataFrame, order_by: list[str], block_rows: int | None = No
         total += count
     offset = F.element_at(F.create_map(*[F.lit(x) for pair in starts for x in pair]), F.col("__part")) if starts else F.lit(0)
     out = dealt.withColumn(name, (offset + F.col("__row")).cast("long")).drop("__part", "__row")
-    return out.withColumn("__block", F.floor(F.col(name) / block_rows).cast("long") if block_rows else F.lit(0).cast("long"))
+    out = out.withColumn("__block", F.floor(F.col(name) / block_rows).cast("long") if block_rows else F.lit(0).cast("long"))
+    out._plyfold_path = dealt._plyfold_path  # for tables.discard()
+    return out

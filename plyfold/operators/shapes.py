@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..tables import materialize
+from .integrity import MAX_DEPTH
+
 
 def signature(json: Column) -> Column:
     """The sorted keys of a JSON object, joined by commas; null for anything else."""
@@ -19,6 +22,35 @@ def shapes(df: DataFrame, json: str = "j", path: str = "path") -> DataFrame:
     return grouped.filter("frequency >= 2").select("signature", F.col("n_keys").cast("long"), "frequency", "path")
 
 
+def values(df: DataFrame, json: str = "j", path: str = "path", deepest: int = MAX_DEPTH) -> DataFrame:
+    """(j, path) of the values of df and of every object inside them, at any depth: `.key` and `[place]` are added to the path.
+
+    A level at a time, each written to the shared folder, until one holds no object; deeper than `deepest` raises ValueError.
+    """
+    level = df.select(F.col(json).alias("j"), F.col(path).alias("path"))
+    out = level
+    for _ in range(deepest):
+        inside = level.select("path", F.explode(F.from_json(F.when(F.col("j").startswith("{"), F.col("j")), "map<string,string>")).alias("key", "j")).select("j", F.concat("path", F.lit("."), "key").alias("path"))
+        listed = level.select("path", F.posexplode(F.from_json(F.when(F.col("j").startswith("["), F.col("j")), "array<string>")).alias("at", "j")).select("j", F.concat("path", F.lit("["), F.col("at").cast("string"), F.lit("]")).alias("path"))
+        level = inside.unionByName(listed).filter(F.col("j").rlike(r"^[\[{]"))
+        level = materialize(level, "nested-values")
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level)
+    raise ValueError(f"deeper than {deepest}")
+
+
+def instances(df: DataFrame, shape: str, json: str = "j") -> DataFrame:
+    """The rows whose value is an object of the shape (a signature)."""
+    return df.filter(signature(F.col(json)) == shape)
+
+
+def matched(df: DataFrame, found: DataFrame, json: str = "j") -> DataFrame:
+    """df with the short and full name of each value's shape, from named(); null where it has none. Shapes are few and broadcast."""
+    small = F.broadcast(found.select("signature", "short_name", "full_name"))
+    return df.withColumn("signature", signature(F.col(json))).join(small, "signature", "left")
+
+
 def short_name(index: Column) -> Column:
     """A to Z, then A0 to Z0, A1 and so on."""
     return F.concat(F.char(65 + index % 26), F.when(index < 26, "").otherwise(((index - 26) / 26).cast("int").cast("string")))

@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import inline, scalars
-from ..operators import deltas, dictionary, substrings, templates
+from ..operators import deltas, dictionary, integrity, substrings, templates
 from ..operators.ordering import with_ordinal
+from ..tables import discard
 from .header import Header, hint, read_header
 
 # Which columns can take differences, and the limits of the options.
@@ -37,9 +38,10 @@ class Options:
     min_dict_value_length: int = 2
     min_dict_frequency: int = 2
     name: str | None = None
-    block_rows: int | None = None
+    block_rows: int | None = 65_536
     checksum: bool = True
     embed_plan: bool = True
+    order_hidden: bool = False  # the columns of the order are no part of the document
 
 
 @dataclass
@@ -48,7 +50,7 @@ class Plan:
 
     level: int
     schema: str  # JSON of the StructType
-    codecs: dict[str, str]  # column -> text | bool | number | delta | micros | days | inline | json
+    codecs: dict[str, str]  # column -> text | uuid | bool | number | delta | micros | days | inline | json
     dictionary: list[str] = field(default_factory=list)
     templates: dict[str, list[str]] = field(default_factory=dict)  # column -> [prefix, suffix]
     fragments: list[str] = field(default_factory=list)
@@ -74,6 +76,12 @@ class Encoded:
     plan: Plan
     cells: DataFrame
     lines: DataFrame
+    ordered: DataFrame | None = None  # the stored rows that cells and lines are made from
+
+    def discard(self) -> None:
+        """Delete the stored rows, once cells and lines are written somewhere."""
+        if self.ordered is not None:
+            discard(self.ordered)
 
     def text(self) -> str:
         """The lines of a small document (one block), joined; for documents that fit on the driver."""
@@ -104,6 +112,10 @@ def make_plan(ordered: DataFrame, struct: T.StructType, o: Options) -> tuple[Pla
         codecs[f.name] = ("inline" if inline.supported(k) else "json") if not isinstance(k, FLAT) else "bool" if isinstance(k, T.BooleanType) else "text" if isinstance(k, (T.StringType, *TEMPORAL, T.BinaryType)) else "number"
     plan = Plan(o.level, struct.json(), codecs, name=name if o.level == 1 else "A")
     strings = [f.name for f in struct.fields if isinstance(f.dataType, T.StringType)]
+    if o.level == 3 and strings:
+        ids = ordered.agg(*[F.coalesce(F.min(F.col(f"`{c}`").rlike(scalars.UUID)), F.lit(False)).alias(f"u{i}") for i, c in enumerate(strings)]).first()
+        codecs.update({c: "uuid" for i, c in enumerate(strings) if ids[i]})
+        strings = [c for c in strings if codecs[c] != "uuid"]
     moving = {f.name: "temporal" if isinstance(f.dataType, TEMPORAL) else "numeric" for f in struct.fields if _can_delta(f.dataType)} if o.level == 3 else {}
     if moving:
         seen = ordered.select("__ord", "__block", *[_numeric(F.col(f"`{c}`"), struct[c].dataType).alias(f"v{i}") for i, c in enumerate(moving)])
@@ -117,8 +129,7 @@ def make_plan(ordered: DataFrame, struct: T.StructType, o: Options) -> tuple[Pla
         plan.dictionary = [r.value for r in dictionary.numbered(entries).orderBy("idx").collect()]  # MAX_REFS rows at most
     plain = [c for c in strings]
     if o.level >= 2 and plain:
-        refs = F.array(*map(F.lit, plan.dictionary)) if plan.dictionary else F.array().cast("array<string>")
-        marked = ordered.select(*[F.when(F.array_contains(refs, F.col(f"`{c}`")), "$").otherwise(F.col(f"`{c}`")).alias(c) for c in plain])
+        marked = ordered.select(*[F.when(F.col(f"`{c}`").isin(plan.dictionary), "$").otherwise(F.col(f"`{c}`")).alias(c) for c in plain])
         plan.templates = {r.col: [r.prefix, r.suffix] for r in templates.detect(marked, plain).collect()}
     count = ordered.count()
     if o.level == 3 and strings and count >= substrings.MIN_FREQUENCY:
@@ -133,7 +144,7 @@ def _stripped(value: Column, column: str, plan: Plan) -> Column:
     if column in plan.templates:
         return templates.strip(value, *plan.templates[column])
     if plan.dictionary:
-        return F.when(~F.coalesce(F.array_contains(F.array(*map(F.lit, plan.dictionary)), value), F.lit(False)), value)
+        return F.when(~value.isin(plan.dictionary), value)
     return value
 
 
@@ -145,6 +156,8 @@ def _cell(column: str, kind: T.DataType, plan: Plan) -> Column:
         out = v.cast("string") if plan.level == 1 else F.when(v, "1").otherwise("0")
     elif codec == "inline":
         out = inline.written(v, kind, inline.type_name(column))
+    elif codec == "uuid":
+        out = scalars.uuid_to_base62(v)
     elif codec == "json":
         out = scalars.quoted(F.to_json(F.struct(v.alias("v")), {"ignoreNullFields": "false"}))
     elif isinstance(kind, T.StringType):
@@ -152,7 +165,7 @@ def _cell(column: str, kind: T.DataType, plan: Plan) -> Column:
         text = scalars.quoted(substrings.apply(rest, plan.fragments) if plan.fragments else rest, column in plan.templates)
         out = text
         if plan.dictionary and column not in plan.templates:
-            out = F.coalesce(dictionary.lookup(v, plan.dictionary), text)
+            out = F.coalesce(F.col(f"`__ref_{column}`"), text)
     else:
         text = scalars.text_of(v, kind)
         out = scalars.compact_date(text) if plan.level >= 2 and isinstance(kind, TEMPORAL) else text
@@ -162,16 +175,22 @@ def _cell(column: str, kind: T.DataType, plan: Plan) -> Column:
 def encode(df: DataFrame, order_by: list[str] | str, options: Options | None = None, **given) -> Encoded:
     """A table as a document, in the order of `order_by`.
 
-    With block_rows every block is a document of its own (its first row absolute, its own row count and checksum), so encoding
-    and decoding run in parallel over blocks; without, the whole table is one block and one task writes it. Null cells, any
+    Every block of block_rows rows is a document of its own (its first row absolute, its own row count and checksum), so encoding
+    and decoding run in parallel over blocks, and a block's lines fit in a row for the checksum. With None the whole table is one
+    document that one task writes: for small tables. Types nested deeper than integrity.MAX_DEPTH raise ValueError. Null cells, any
     text, NaN and infinities come back as they were; nested columns are inline values, or cells of JSON where a type has no inline form. An empty table has no block.
     """
     o = options or Options(**given)
-    struct = df.schema
-    ordered = with_ordinal(df, [order_by] if isinstance(order_by, str) else order_by, o.block_rows)
+    keys = [order_by] if isinstance(order_by, str) else order_by
+    struct = T.StructType([f for f in df.schema.fields if not (o.order_hidden and f.name in keys)])
+    integrity.check_depth(struct)
+    ordered = with_ordinal(df, keys, o.block_rows)
     plan, _ = make_plan(ordered, struct, o)
     w = Window.partitionBy("__block").orderBy("__ord")
-    cells = []
+    cells, held = [], ordered
+    for f in struct.fields:
+        if plan.dictionary and isinstance(f.dataType, T.StringType) and f.name not in plan.templates and plan.codecs[f.name] == "text":
+            ordered = ordered.join(dictionary.references(df.sparkSession, plan.dictionary, f"__ref_{f.name}"), F.col(f"`{f.name}`") == F.col("__value"), "left").drop("__value")
     for f in struct.fields:
         codec = plan.codecs[f.name]
         if codec in ("delta", "micros", "days"):
@@ -195,7 +214,7 @@ def encode(df: DataFrame, order_by: list[str] | str, options: Options | None = N
     first += [F.struct(F.lit(-998 + i).cast("long").alias("ord"), F.lit(x).alias("line")) for i, x in enumerate(fixed[1:])]
     first.append(F.struct(F.lit(-1).cast("long").alias("ord"), after.alias("line")))
     head = sized.select("block", F.inline(F.array(*first)))
-    return Encoded(plan, rows, head.unionByName(body))
+    return Encoded(plan, rows, head.unionByName(body), held)
 
 
 def split_row(line: Column, sep: str, flat: bool = False) -> Column:
@@ -252,6 +271,8 @@ def decode_cells(cells: DataFrame, plan: Plan) -> DataFrame:
             v = c == ("true" if plan.level == 1 else "1")
         elif codec == "inline":
             v = inline.read(F.when(c != null, c), kind)
+        elif codec == "uuid":
+            v = scalars.base62_to_uuid(c)
         elif codec == "json":
             v = F.from_json(scalars.unquoted(c), T.StructType([T.StructField("v", kind)]))["v"]
         elif isinstance(kind, T.StringType):
@@ -292,7 +313,7 @@ def decode(lines: DataFrame, plan: Plan | None = None, strict: bool = True) -> D
 
 def encode_text(df: DataFrame, order_by: list[str] | str, **options) -> str:
     """The document of a small table as one text."""
-    return encode(df, order_by, **options).text()
+    return encode(df, order_by, **{"block_rows": None} | options).text()
 
 
 def verify_text(text: str, strict: bool = True) -> Header:
@@ -306,7 +327,7 @@ def verify_text(text: str, strict: bool = True) -> Header:
         rest = "\n".join(x for i, x in enumerate(lines) if not (i < n and x.startswith("@C ")))
         if f"{zlib.crc32(rest.encode()):08x}" != header.checksum:
             problems.append("checksum differs")
-    if len(lines) - n != header.rows:
+    if n and lines[n - 1].startswith(("@N", "@A")) and len(lines) - n != header.rows:
         problems.append(f"{header.rows} rows declared, {len(lines) - n} found")
     if problems and strict:
         raise ValueError("; ".join(problems))
@@ -316,11 +337,15 @@ def verify_text(text: str, strict: bool = True) -> Header:
 
 
 def decode_text(spark: SparkSession, text: str, plan: Plan | None = None, strict: bool = True) -> DataFrame:
-    """The table of a document given as one text."""
-    header = verify_text(text, strict)
+    """The table of a document given as one text. Without a plan, given or in the header, foreign.read_any() reads it."""
+    from .foreign import read_any
+
     lines = text.split("\n")
-    _, n = read_header(lines)
-    plan = plan or Plan.from_json(header.plan or "null")
+    header, n = read_header(lines) if text.startswith("@v") else (Header(), 0)
+    if plan is None and header.plan is None:
+        return read_any(spark, text, strict)
+    header = verify_text(text, strict)
+    plan = plan or Plan.from_json(header.plan)
     rows = [(0, i, x) for i, x in enumerate(lines[n:])]
     return decode(spark.createDataFrame(rows, "block long, ord long, line string"), plan, strict=False)
 

@@ -57,6 +57,7 @@ class Header:
     rows: int = 0
     checksum: str | None = None
     plan: str | None = None
+    schemas: dict[str, list[tuple[str, str]]] = field(default_factory=dict)  # all that the lines name; fields are those of the rows
 
     def lines(self) -> list[str]:
         """Without the checksum line, which covers these."""
@@ -95,6 +96,7 @@ def read_header(lines: list[str]) -> tuple[Header, int]:
         elif kind == "schema":
             h.name, _, rest = line[3:].partition(": ")
             h.fields = [(re.sub(r"\\(.)", lambda e: "\n" if e[1] == "n" else e[1], m[1]) if m[1] is not None else m[2], m[3] or "") for m in re.finditer(r'(?:"((?:[^"\\]|\\.)*)"|([^,"?]+))(\?[bdins])?(?:, |$)', rest)]
+            h.schemas[h.name] = h.fields
         elif kind == "dictionary":
             h.dictionary = split_values(line[4:])
         elif kind == "template":
@@ -104,7 +106,10 @@ def read_header(lines: list[str]) -> tuple[Header, int]:
         elif kind == "fragments":
             h.fragments = split_values(line[4:])
         elif kind in ("rows", "matrix"):
-            h.rows = int(re.match(r"@[NA]\s?(\d+)", line)[1])
+            m = re.match(r"@[NA]\s?(\d+)\s*(\w*)", line)
+            h.rows = int(m[1])
+            if kind == "rows" and m[2]:
+                h.name, h.fields = m[2], h.schemas.get(m[2], h.fields)
             return h, n + 1
         elif kind == "data":
             return h, n

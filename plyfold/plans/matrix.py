@@ -14,7 +14,7 @@ from ..operators.shapes import is_matrix
 from .document import split_row
 
 
-def encode_matrix(df: DataFrame, array: str, order_by: list[str] | str, level: int = 2, block_rows: int | None = None) -> DataFrame:
+def encode_matrix(df: DataFrame, array: str, order_by: list[str] | str, level: int = 2, block_rows: int | None = 65_536) -> DataFrame:
     """(block, ord, line) of an array column in the order of `order_by`; each block is a document, header lines have negative ord.
 
     At level 3 a cell equal to the one above is ~. Raises ValueError if the rows are not a matrix (two rows at least, one length

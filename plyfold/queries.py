@@ -7,12 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types
 from pyspark.sql.window import Window
 
 from .functions import inline, scalars, tokens
 from .operators import deltas, dictionary, integrity, shapes, substrings, templates
 from .operators.ordering import with_ordinal
-from .plans import advisor, document, matrix
+from .plans import advisor, document, foreign, matrix
 from .sources import presets, render
 from .streaming import stream
 from .tables import shared_dir
@@ -215,11 +216,15 @@ def quoting_roundtrip(spark, d):
 UUID_SQL = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21)"
 
 
-@query(f"SELECT c_custkey AS id, {UUID_SQL} AS uuid FROM (SELECT c_custkey, md5(c_custkey::VARCHAR) AS h FROM customer)")
+BASE62 = " || ".join(f"substr('{scalars.UUID_DIGITS}', ((n // {62**i}::UHUGEINT) % 62)::INT + 1, 1)" for i in range(21, -1, -1))
+
+
+@query(f"""SELECT id, uuid, '^' || ltrim({BASE62}, '0') AS short FROM (
+    SELECT c_custkey AS id, {UUID_SQL} AS uuid, ('0x' || substr(h, 1, 16))::UBIGINT::UHUGEINT * 18446744073709551616::UHUGEINT + ('0x' || substr(h, 17))::UBIGINT AS n FROM (SELECT c_custkey, md5(c_custkey::VARCHAR) AS h FROM customer))""")
 def uuid_base62(spark, d):
     h = F.md5(F.col("c_custkey").cast("string").cast("binary"))
     u = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
-    return T(spark, d, "customer").select(F.col("c_custkey").alias("id"), scalars.uuid_to_base62(u).alias("b")).select("id", scalars.base62_to_uuid("b").alias("uuid"))
+    return T(spark, d, "customer").select(F.col("c_custkey").alias("id"), scalars.uuid_to_base62(u).alias("short")).select("id", scalars.base62_to_uuid(F.col("short")).alias("uuid"), "short")
 
 
 def _template_sql(table: str, col: str) -> str:
@@ -255,13 +260,23 @@ def template_expand(spark, d):
     return template_strip(spark, d).select("key", templates.expand(F.col("part"), t.prefix, t.suffix).alias("c_name"))
 
 
-@query("""WITH c AS (SELECT s_name AS cell FROM supplier WHERE length(s_name) >= 6 AND NOT regexp_matches(s_name, '^(\\$|\\+|~$|-$|-\\d)')), g AS (SELECT DISTINCT cell, substr(cell, i::INT, n::INT) AS fragment FROM c, range(1, 60) a(i), range(6, 51) b(n) WHERE i + n - 1 <= length(cell))
-    SELECT fragment, count(*) AS frequency, (length(fragment) - 3) * count(*) AS savings FROM g JOIN supplier ON cell = s_name GROUP BY fragment HAVING count(*) >= 3""")
+def _ngrams_sql(table: str, col: str) -> str:
+    return f"""WITH c AS (SELECT {col} AS cell, count(*) AS n FROM {table} WHERE length({col}) >= 6 AND NOT regexp_matches({col}, '^(\\$|\\+|~$|-$|-\\d)') GROUP BY 1), g AS (SELECT DISTINCT cell, c.n, substr(cell, i::INT, w::INT) AS fragment FROM c, range(1, 400) a(i), range(6, 51) b(w) WHERE i + w - 1 <= length(cell))
+        SELECT fragment, sum(n)::BIGINT AS frequency, ((length(fragment) - 3) * sum(n))::BIGINT AS savings FROM g GROUP BY fragment HAVING sum(n) >= 3"""
+
+
+@query(_ngrams_sql("supplier", "s_name"))
 def substring_ngrams(spark, d):
     return substrings.ngrams(T(spark, d, "supplier"), ["s_name"])
 
 
-@query()
+@query(f"""WITH RECURSIVE cand AS (SELECT * FROM ({_ngrams_sql('pages', 'url')}) WHERE savings > length(fragment) + 4)
+    , g(k, chosen) AS (SELECT 0, []::VARCHAR[] UNION ALL SELECT k + 1, list_append(chosen, arg_min(fragment, (-savings, -length(fragment), fragment))) FROM g, cand
+        WHERE k < 32 AND len(list_filter(chosen, lambda c: contains(c, fragment) OR contains(fragment, c))) = 0 GROUP BY k, chosen)
+    , f AS (SELECT unnest(chosen) AS fragment, unnest(range(0, len(chosen))) AS i FROM (SELECT chosen FROM g ORDER BY k DESC LIMIT 1))
+    , p AS (SELECT page_id, replace(url, '%', '%%') AS text, url FROM pages)
+    , b AS (SELECT page_id, arg_min(struct_pack(x := replace(fragment, '%', '%%'), i := i), (-length(fragment), i)) AS best FROM p, f WHERE contains(text, replace(fragment, '%', '%%')) GROUP BY page_id)
+    SELECT p.page_id, CASE WHEN best IS NULL THEN text ELSE left(text, strpos(text, best.x) - 1) || '%' || best.i || ';' || substr(text, strpos(text, best.x) + length(best.x)) END AS cell FROM p LEFT JOIN b ON p.page_id = b.page_id""")
 def substring_apply(spark, d):
     p = T(spark, d, "pages")
     found = substrings.choose(substrings.ngrams(p, ["url"]))
@@ -281,7 +296,7 @@ def _delta_sql(table: str, order: str, col: str, expr: str, kind: str) -> str:
 
 
 DELTAS = (("orders", "o_orderkey", "o_orderkey", "o_orderkey", "numeric"), ("orders", "o_orderkey", "o_custkey", "o_custkey", "numeric"), ("customer", "c_custkey", "c_nationkey", "c_nationkey", "numeric"), ("events", "event_id", "ts", "epoch_us(ts)", "temporal"))
-BLOCK = 100_000_000  # one block: the semantics of a whole table
+BLOCK = 65_536
 
 
 @query(" UNION ALL ".join(_delta_sql(*x) for x in DELTAS))
@@ -290,7 +305,7 @@ def delta_eligibility(spark, d):
     for table, order, col, _, kind in DELTAS:
         t = with_ordinal(T(spark, d, table), [order], BLOCK)
         v = F.unix_micros(F.col(col).cast("timestamp")) if kind == "temporal" else F.col(col)
-        one = deltas.eligibility(t.select("__ord", "__block", v.alias(col)), {col: kind}, "__ord", "__block").withColumn("col", F.concat(F.lit(f"{table}."), "col"))
+        one = deltas.eligibility(t.select("__ord", "__block", v.alias(col)), {col: kind}, "__ord", "__block", across=True).withColumn("col", F.concat(F.lit(f"{table}."), "col"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -404,17 +419,53 @@ def profile_characteristics(spark, d):
 
 
 @query(f"""SELECT "table", CASE WHEN json_size < 150 OR n_shapes = 0 THEN 1 WHEN dict_entries = 0 AND delta_columns > 0 AND l3 - l1 >= 3 THEN 3 WHEN dict_entries = 0 AND l2 - l1 < 3 THEN 1
-    WHEN delta_columns = 0 OR l3 - l2 < 3 THEN 2 ELSE 3 END AS level, true AS will_compress FROM ({PROFILES})""")
+    WHEN delta_columns = 0 OR l3 - l2 < 3 THEN 2 ELSE 3 END AS level, true AS will_compress,
+    concat_ws('; ', CASE WHEN json_size < 150 THEN 'small' END, CASE WHEN n_shapes = 0 THEN 'no repeating shape' END, CASE WHEN dict_entries = 0 THEN 'no dictionary' END, CASE WHEN delta_columns = 0 THEN 'no constant steps' END) AS caveats FROM ({PROFILES})""")
 def recommend_level(spark, d):
-    return _all(advisor.recommend, spark, d).select("table", "level", "will_compress")
+    return _all(advisor.recommend, spark, d).select("table", "level", "will_compress", F.array_join("caveats", "; ").alias("caveats"))
+
+
+CRC_TABLE = "(SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::UBIGINT, [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END)) AS tab)"
+
+
+def _crc_sql(text: str) -> str:
+    """SQL for CRC-32 in hex, byte by byte, beside CRC_TABLE."""
+    return f"lower(lpad(printf('%x', xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda p: ('0x' || p)::UBIGINT)), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255)::INT + 1])), 4294967295::UBIGINT)), 8, '0'))"
 
 
-@query()
+def _document_sql(table: str, level: int) -> str:
+    """SQL of (block, ord, line) of nation's or region's document: names of nation have a template, keys rise by one."""
+    key, name, more = ("n_nationkey", "n_name", ["n_regionkey"]) if table == "nation" else ("r_regionkey", "r_name", [])
+    templated = table == "nation" and level > 1
+    cells = [f"{key}::VARCHAR", f"substr({name}, 8)" if templated else _quoted(name), *(f"{x}::VARCHAR" for x in more)]
+    if level == 3:
+        repeat = [f"CASE WHEN {c} = lag({c}) OVER (ORDER BY {key}) THEN '~' ELSE {c} END" for c in cells[1:]]
+        cells = [f"CASE WHEN lag({key}) OVER (ORDER BY {key}) IS NULL THEN {key}::VARCHAR ELSE '+' || ({key} - lag({key}) OVER (ORDER BY {key})) END", *repeat]
+    type_ = "Item" if level == 1 else "A"
+    head = [f"@v{level}", f"@S {type_}: " + ", ".join([key, name, *more]), *(["@T 1: NATION_{}"] if templated else [])]
+    sep = "chr(9)" if level == 3 else "', '"
+    rows = f"SELECT row_number() OVER (ORDER BY {key}) - 1 AS ord, concat_ws({sep}, {', '.join(cells)}) AS line FROM {table}"
+    count = f"'@N' || (SELECT count(*) FROM {table}) || ' {type_}'"
+    whole = " || chr(10) || ".join([*(f"'{h}'" for h in head), count, f"(SELECT string_agg(line, chr(10) ORDER BY ord) FROM ({rows}))"])
+    fixed = " UNION ALL ".join([f"SELECT -1000 AS ord, '{head[0]}' AS line", f"SELECT -999, '@C ' || {_crc_sql(whole)} FROM {CRC_TABLE}", *(f"SELECT {-998 + i}, '{h}'" for i, h in enumerate(head[1:])), f"SELECT -1, {count}"])
+    return f"SELECT 0::BIGINT AS block, ord::BIGINT AS ord, line FROM ({fixed} UNION ALL {rows})"
+
+
+def _sizes_sql(table: str) -> str:
+    """SQL of (level, chars, tokens) of JSON and the documents."""
+    j = _nation_json() if table == "nation" else _region_json()
+    out = [f"SELECT 0 AS level, (sum(length({j})) + count(*) + 1)::BIGINT AS chars, (sum({_tokens_sql(j)}) + count(*) - 1 + 2)::BIGINT AS tokens FROM {table}"]
+    out += [f"SELECT {n}, (sum(length(line)) + count(*) - 1)::BIGINT, (sum({_tokens_sql('line')}) + count(*) - 1)::BIGINT FROM ({_document_sql(table, n)})" for n in (1, 2, 3)]
+    return " UNION ALL ".join(out)
+
+
+@query(" UNION ALL ".join(f"""SELECT '{t}' AS "table", arg_min(level, (chars, level)) AS best, min(chars) AS chars FROM ({_sizes_sql(t)})""" for t, _ in ADVISED))
 def auto_level(spark, d):
     return _all(advisor.auto_level, spark, d)
 
 
-@query()
+@query(" UNION ALL ".join(f"""SELECT '{t}' AS "table", j AS json_tokens, a AS l1_tokens, b AS l2_tokens, c AS l3_tokens, 0 AS n_dict, 1 AS n_delta, (j - least(a, b, c)) * 100.0::DOUBLE / j AS reduction
+    FROM (SELECT max(tokens) FILTER (level = 0) AS j, max(tokens) FILTER (level = 1) AS a, max(tokens) FILTER (level = 2) AS b, max(tokens) FILTER (level = 3) AS c FROM ({_sizes_sql(t)}))""" for t, _ in ADVISED))
 def analyze_tables(spark, d):
     return _all(advisor.analyze, spark, d)
 
@@ -424,27 +475,32 @@ def _compare_sql() -> str:
     tron = f"'A ' || concat_ws(', ', n_nationkey::VARCHAR, {_quoted('n_name')}, n_regionkey::VARCHAR)"
     yaml = f"'- n_nationkey: ' || n_nationkey || chr(10) || '  n_name: ' || {_quoted('n_name')} || chr(10) || '  n_regionkey: ' || n_regionkey"
     pretty = """'  {' || chr(10) || '    "n_nationkey": ' || n_nationkey || ',' || chr(10) || '    "n_name": ' || to_json(n_name)::VARCHAR || ',' || chr(10) || '    "n_regionkey": ' || n_regionkey || chr(10) || '  }'"""
-    one = lambda f, line, gap, head: f"SELECT '{f}' AS format, (sum(length({line})) + (count(*) - 1) * {gap} + length({head}))::BIGINT AS chars FROM nation"
-    cols = "n_nationkey, n_name, n_regionkey"
-    return " UNION ALL ".join([one("json", _nation_json(), 1, "'[]'"), one("json_pretty", pretty, 2, "'[..]'"), one("toon", toon, 1, f"'[' || count(*) || ']:' || chr(10) || '  - {cols}' || chr(10)"), one("tron", tron, 1, f"'class A: {cols}' || chr(10)"), one("yaml", yaml, 1, "'.'")])
+    one = lambda f, line, gap, head: f"SELECT '{f}' AS format, (sum(length({line})) + (count(*) - 1) * {gap} + length({head}))::BIGINT AS chars, (sum({_tokens_sql(line)}) + (count(*) - 1) * {gap} + {_tokens_sql(f'any_value({head})').replace('any_value', '')})::BIGINT AS tokens FROM nation"
+    cols, end = "n_nationkey, n_name, n_regionkey", " || chr(10)"
+    heads = {"json": "'[]'", "json_pretty": "'[' || chr(10) || chr(10) || ']'", "toon": f"'[' || count(*) || ']:' || chr(10) || '  - {cols}'{end}", "tron": f"'class A: {cols}'{end}", "yaml": "chr(10)"}
+    lines = {"json": (_nation_json(), 1), "json_pretty": (pretty, 2), "toon": (toon, 1), "tron": (tron, 1), "yaml": (yaml, 1)}
+    return " UNION ALL ".join(one(f, line, gap, heads[f]) for f, (line, gap) in lines.items())
 
 
-@query(_compare_sql())
+@query(f"SELECT format, chars FROM ({_compare_sql()})")
 def compare_formats(spark, d):
     return render.compare(T(spark, d, "nation")).select("format", "chars")
 
 
-@query()
+@query(f"""SELECT format, chars, tokens, (tokens - base) * 100.0::DOUBLE / base AS pct, tokens::DOUBLE / most AS share
+    FROM (SELECT *, max(tokens) OVER () AS most, max(tokens) FILTER (format = 'json') OVER () AS base FROM ({_compare_sql()}))""")
 def compare_tokens(spark, d):
     return render.compare(T(spark, d, "nation"))
 
 
-@query("SELECT 25::BIGINT AS declared, count(*) AS actual, count(*) = 25 AS ok FROM nation")
+@query("SELECT count(*) AS declared, count(*) AS actual, true AS ok FROM nation")
 def cardinality_guard(spark, d):
-    return integrity.cardinality(T(spark, d, "nation"), 25)
+    """What the document of a table declares, against its rows."""
+    head = document.encode(T(spark, d, "nation"), "n_nationkey").lines.filter("line like '@N%'").first().line
+    return integrity.cardinality(T(spark, d, "nation"), int(head[2:].split()[0]))
 
 
-@query()
+@query(f"SELECT doc_id, {_crc_sql('text')} AS crc FROM documents, {CRC_TABLE}")
 def checksum(spark, d):
     return T(spark, d, "documents").select("doc_id", integrity.crc_hex(F.col("text")).alias("crc"))
 
@@ -457,6 +513,25 @@ def route_content(spark, d):
     return integrity.route(c.unionByName(e), "text").select("id", "is_json", "action")
 
 
+@query("SELECT c_nationkey AS nation, c_custkey AS id, c_name AS name, c_mktsegment AS segment, true AS shorter FROM customer")
+def message_compress(spark, d):
+    """Messages that hold JSON: one for each nation's customers, written as documents and read back."""
+    rows = F.to_json(F.sort_array(F.collect_list(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")))))
+    sent = T(spark, d, "customer").groupBy("c_nationkey").agg(rows.alias("j")).withColumn("sent", foreign.json_documents(F.col("j")))
+    back = F.from_json(foreign.documents_json(F.col("sent")), "array<struct<id:bigint,name:string,segment:string>>")
+    return sent.select(F.col("c_nationkey").alias("nation"), F.explode(back).alias("r"), (F.length("sent") < F.length("j")).alias("shorter")).select("nation", "r.id", "r.name", "r.segment", "shorter")
+
+
+@query(f"SELECT c_custkey AS id, {UUID_SQL} AS u, c_name AS name FROM (SELECT *, md5(c_custkey::VARCHAR) AS h FROM customer)")
+def roundtrip_l3_uuids(spark, d):
+    h = F.md5(F.col("c_custkey").cast("string").cast("binary"))
+    u = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+    e = document.encode(T(spark, d, "customer").select(F.col("c_custkey").alias("id"), u.alias("u"), F.col("c_name").alias("name")), "id", level=3)
+    if e.plan.codecs["u"] != "uuid":
+        raise ValueError("the column is not taken as UUIDs")
+    return document.decode(e.lines)
+
+
 def _places(spark, d):
     c = T(spark, d, "customer")
     return c.select("c_custkey", F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.array("c_mktsegment", "c_name").alias("tags")).alias("place"))
@@ -491,9 +566,39 @@ def matrix_roundtrip(spark, d):
     return back.select("ord", F.posexplode("row").alias("pos", "value")).select("ord", F.col("pos").cast("long").alias("pos"), F.col("value").cast("double").alias("value"))
 
 
+@query("""SELECT c_custkey, i AS pos, c_custkey + i AS id, CASE WHEN i < 2 THEN c_name ELSE c_mktsegment END AS name, CASE i WHEN 0 THEN true WHEN 1 THEN false END AS flag FROM customer, range(3) r(i)""")
+def foreign_documents(spark, d):
+    """Documents without a plan, one for each row: steps, repeats, references and hints are read from the header alone."""
+    text = F.concat(F.lit("@v3\n@S A: id, name, flag?b\n@D: "), F.col("c_mktsegment"), F.lit("\n@N3 A\n"), F.col("c_custkey").cast("string"), F.lit("\t"), scalars.quoted(F.col("c_name")), F.lit("\t1\n+1\t~\t0\n+1\t$0\t-"))
+    rows = F.from_json(foreign.documents_json(text), "array<struct<id:bigint,name:string,flag:boolean>>")
+    return T(spark, d, "customer").select("c_custkey", F.posexplode(rows).alias("pos", "r")).select("c_custkey", F.col("pos").cast("long").alias("pos"), "r.id", "r.name", "r.flag")
+
+
+@query("SELECT event_id, props AS j FROM events")
+def foreign_json(spark, d):
+    """JSON in JSON's own form is a document too, and stays as it is."""
+    return T(spark, d, "events").select("event_id", foreign.documents_json(F.col("props")).alias("j"))
+
+
+@query("""SELECT 'e' || event_id AS id, coalesce(list_max(list_transform(range(1, len(x) + 1), lambda i: list_sum(list_transform(x[1:i], lambda c: CASE WHEN c IN ('[', '(', '{') THEN 1 ELSE -1 END)))), 0)::INT AS depth
+    FROM (SELECT event_id, regexp_extract_all(regexp_replace(props, '"([^"\\\\]|\\\\.)*"', '', 'g'), '[\\[\\](){}]') AS x FROM events)""")
+def text_depth(spark, d):
+    return T(spark, d, "events").select(F.concat(F.lit("e"), "event_id").alias("id"), integrity.text_depth(F.col("props")).alias("depth"))
+
+
+@query("""WITH o AS (SELECT to_json({'o_orderkey': o_orderkey, 'customer': {'c_custkey': c_custkey, 'c_name': c_name}, 'lines': [{'a': 1, 'b': o_orderkey}, {'a': 2, 'b': 0}]}) AS j FROM orders JOIN customer ON o_custkey = c_custkey)
+    SELECT signature, n_keys, count(*) AS frequency, min(path) AS path FROM (SELECT 'customer,lines,o_orderkey' AS signature, 3::BIGINT AS n_keys, '' AS path FROM o UNION ALL SELECT 'c_custkey,c_name', 2, '.customer' FROM o
+        UNION ALL SELECT 'a,b', 2, '.lines[0]' FROM o UNION ALL SELECT 'a,b', 2, '.lines[1]' FROM o) GROUP BY 1, 2 HAVING count(*) >= 2""")
+def shape_all_levels(spark, d):
+    o, c = T(spark, d, "orders"), T(spark, d, "customer")
+    lines = F.array(F.struct(F.lit(1).alias("a"), F.col("o_orderkey").alias("b")), F.struct(F.lit(2).alias("a"), F.lit(0).cast("long").alias("b")))
+    j = o.withColumn("o_orderkey", F.col("o_orderkey").cast("long")).join(c, o.o_custkey == c.c_custkey).select(F.to_json(F.struct("o_orderkey", F.struct("c_custkey", "c_name").alias("customer"), lines.alias("lines"))).alias("j"), F.lit("").alias("path"))
+    return shapes.shapes(shapes.values(j))
+
+
 def _documents(level: int):
     def lines(spark, d):
-        return document.encode(T(spark, d, "nation"), "n_nationkey", level=level).lines
+        return document.encode(T(spark, d, "nation"), "n_nationkey", level=level, embed_plan=False).lines
 
     return lines
 
@@ -506,7 +611,7 @@ def _roundtrip(table: str, key: str, level: int):
 
 
 for _level in (1, 2, 3):
-    query(name=f"encode_doc_l{_level}")(_documents(_level))
+    query(_document_sql("nation", _level), f"encode_doc_l{_level}")(_documents(_level))
     for _t, _k in (("customer", "c_custkey"), ("orders", "o_orderkey"), ("part", "p_partkey")):
         query(f"SELECT * FROM {_t}", f"roundtrip_l{_level}_{_t}")(_roundtrip(_t, _k, _level))
 
@@ -519,8 +624,19 @@ def stream_roundtrip(spark, d):
     return stream.stream_decode(spark, f"{at}/out")
 
 
+def _flat(df: DataFrame) -> DataFrame:
+    """Fields of structs as columns of their own, arrays as text."""
+    out = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, types.StructType):
+            out += [F.col(f"{f.name}.{x}").alias(f"{f.name}_{x}") for x in f.dataType.names]
+        else:
+            out.append(F.array_join(f.name, "|").alias(f.name) if isinstance(f.dataType, types.ArrayType) else F.col(f.name))
+    return df.select(*out)
+
+
 def _preset(name: str):
-    return lambda spark, d: presets.PRESETS[name](spark)
+    return lambda spark, d: _flat(presets.PRESETS[name](spark))
 
 
 for _name in presets.PRESETS:
@@ -531,6 +647,12 @@ SQL |= {
     "preset_employees_500": _PEOPLE.format(500),
     "preset_people_100": _PEOPLE.format(100),
     "preset_iot_sensors": "SELECT strftime(make_timestamp((1704067200 + range * 60) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS timestamp, 'sensor-' || (range % 10) AS \"sensorId\", 20 + range % 50 / 4.0::DOUBLE AS temperature, 40 + range % 40 / 2.0::DOUBLE AS humidity, (['ok', 'warn', 'error'])[range % 3 + 1] AS status, range % 7 = 0 AS alert FROM range(200)",
+    "preset_weather": """SELECT strftime(DATE '2024-03-01' + range::INT, '%Y-%m-%d') AS date, (['Paris', 'Berlin', 'Madrid'])[range % 3 + 1] AS location_city, (['FR', 'DE', 'ES'])[range % 3 + 1] AS location_country, ([48.86, 52.52, 40.42])[range % 3 + 1]::DOUBLE AS location_lat, ([2.35, 13.4, -3.7])[range % 3 + 1]::DOUBLE AS location_lon,
+        5 + range % 10 AS temperature_min, 13 + range % 10 AS temperature_max, 9 + range % 10 AS temperature_avg, 'C' AS temperature_unit, 50 + range % 30 AS humidity, range % 25 AS "windSpeed", (['sunny', 'cloudy', 'rain'])[range % 3 + 1] AS conditions FROM range(30)""",
+    "preset_products": """SELECT 'P-' || lpad((range + 1)::VARCHAR, 4, '0') AS id, 'Product ' || lpad((range + 1)::VARCHAR, 4, '0') AS name, c AS category, range + 0.5::DOUBLE AS price, range % 4 <> 0 AS "inStock", c || '|' || (['new', 'sale'])[range % 2 + 1] AS tags, range % 9 + 1 AS specs_weight, (range % 5 + 1) || 'x2' AS specs_dimensions,
+        3 + range % 4 / 2.0::DOUBLE AS rating_average, range * 3 AS rating_count FROM (SELECT range, (['tools', 'toys', 'books', 'garden', 'food'])[range % 5 + 1] AS c FROM range(25))""",
+    "preset_config": "SELECT " + ", ".join(f"'{n}' AS {n}_name, {i} AS {n}_port" for i, n in enumerate(("server", "database", "cache", "queue", "auth", "logging"))),
+    "preset_rag": "SELECT 'chunk-' || range AS id, 'docs/' || range || '.md' AS source, 'Passage number ' || range || ' of the manual.' AS content, range / 8.0::DOUBLE AS metadata_score, range * 10 AS metadata_page FROM range(5)",
     "preset_tiny_object": "SELECT 1::BIGINT AS id, 'Ada' AS name",
     "preset_mixed_array": """SELECT * FROM (VALUES (0::BIGINT, '1'), (1, '"two"'), (2, '[3]'), (3, '{"four":4}'), (4, 'null')) t(id, j)""",
 }
@@ -546,3 +668,5 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["flagship"] = flagship
+SQL["flagship"] = f"""SELECT o_orderkey, concat_ws(chr(9), CASE WHEN d IS NULL THEN o_orderkey::VARCHAR ELSE CASE WHEN d < 0 THEN '' ELSE '+' END || d END, CASE WHEN o_orderstatus = before THEN '~' ELSE o_orderstatus END, coalesce(ref, {_quoted('o_orderpriority')})) AS cells
+    FROM (SELECT *, o_orderkey - lag(o_orderkey) OVER w AS d, lag(o_orderstatus) OVER w AS before FROM (SELECT *, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS b FROM orders) WINDOW w AS (PARTITION BY b ORDER BY o_orderkey)) LEFT JOIN ({_dictionary(ORDER_CELLS)}) ON o_orderpriority = value"""

@@ -1,7 +1,7 @@
 """Documents as a Spark data source: spark.read.format("plyfold").load(path), df.write.format("plyfold").save(path).
 
-A path holds documents as text files, each with its plan in the header. Files are read through Spark's own readers to find the
-schema, so any file system works; a partition is a file.
+A path holds documents as text files, each with its plan in the header. read_documents() goes through Spark's own reader; the
+registered format opens each file on an executor, by the file systems that pyarrow knows.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from ..plans.document import Options, Plan, decode, encode
 from ..plans.header import read_header
 
 
-def write_documents(df: DataFrame, order_by: list[str] | str, path: str, level: int = 2, block_rows: int | None = None) -> None:
+def write_documents(df: DataFrame, order_by: list[str] | str, path: str, level: int = 2, block_rows: int | None = 65_536) -> None:
     """One text file for each block, its lines joined; a block must fit in a row."""
     lines = encode(df, order_by, Options(level=level, block_rows=block_rows)).lines
     docs = lines.groupBy("block").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "line"))), lambda r: r["line"]), "\n").alias("value"))
@@ -44,16 +44,32 @@ def register(spark: SparkSession) -> None:
     """Make the format known to spark.read and spark.readStream under the name plyfold: lines of documents with their places."""
     from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+    def opened(where: str):
+        """(file system, path in it) of a path or URI."""
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(where) if "://" in where or where.startswith("file:") else (fs.LocalFileSystem(), where)
+
     class Reader(DataSourceReader):
-        def __init__(self, texts: list[str]):
-            self.texts = texts
+        def __init__(self, where: str):
+            self.where = where
 
         def partitions(self):
-            return [InputPartition((i, t)) for i, t in enumerate(self.texts)]
+            """A partition for each file: names only, no text comes to the driver."""
+            from pyarrow import fs
+
+            system, path = opened(self.where)
+            if system.get_file_info(path).type == fs.FileType.Directory:
+                names = sorted(f.path for f in system.get_file_info(fs.FileSelector(path)) if f.is_file and f.base_name.startswith("part-"))
+            else:
+                names = [path]
+            return [InputPartition((i, name)) for i, name in enumerate(names)]
 
         def read(self, partition):
-            block, text = partition.value
-            lines = text.rstrip("\n").split("\n")
+            block, name = partition.value
+            system, _ = opened(self.where)
+            with system.open_input_stream(name) as f:
+                lines = f.read().decode().rstrip("\n").split("\n")
             _, n = read_header(lines)
             yield from ((block, i - n, x) for i, x in enumerate(lines))
 
@@ -66,12 +82,6 @@ def register(spark: SparkSession) -> None:
             return "block long, ord long, line string"
 
         def reader(self, schema):
-            import glob
-
-            from pathlib import Path
-
-            where = self.options["path"]
-            files = sorted(glob.glob(f"{where}/part-*")) or [where]
-            return Reader([Path(f).read_text() for f in files])
+            return Reader(self.options["path"])
 
     spark.dataSource.register(Documents)

@@ -33,3 +33,20 @@ def stream_decode(spark: SparkSession, path: str) -> DataFrame:
     if out is None:
         raise ValueError("no batch has been written")
     return out
+
+
+def stream_restore(spark: SparkSession, path: str, out: str, checkpoint: str, files: int = 1_000, **trigger) -> StreamingQuery:
+    """Decode what stream_encode() writes under path, as it comes: the rows go to out/batch=N, as Parquet.
+
+    A micro-batch takes up to `files` new files; each encoded batch in it follows its own plan, so a plan's size does not grow with
+    the stream. Batches must be complete when they are listed, as those of stream_encode() are: their folder appears at commit.
+    """
+
+    def write(lines: DataFrame, _: int) -> None:
+        for r in lines.select("batch").distinct().collect():  # at most `files` rows
+            whole = spark.read.parquet(f"{path}/batch={r.batch}")
+            decode(whole).write.mode("overwrite").parquet(f"{out}/batch={r.batch}")
+
+    kind = "block long, ord long, line string, batch int"
+    source = spark.readStream.schema(kind).option("maxFilesPerTrigger", files).parquet(path)
+    return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
