@@ -10,8 +10,7 @@ from .common import materialize, partitions
 
 def word_count(text: Column) -> Column:
     """Words between white space; none in a null or empty text."""
-    trimmed = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(F.coalesce(F.length(trimmed), F.lit(0)) == 0, 0).otherwise(F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
 def boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
