@@ -369,7 +369,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ranked = ranked.filter("at < 0 or leads = 1 or not first")  # the leader's place in a repeated row is no repeat
     ranked = ranked.withColumn("leaders", F.sum("leads").over(whole)).filter("at < 0 or leads = 0 or leaders > 1")
     ranked = materialize(ranked.select("h", "doc_id", "lo", "hi", "at", F.expr("at < 0 or leads = 0").alias("sure")), "anchors")
-    transform = materialize(compared(contexts(ranked.filter("not sure"), docs, length), length), "transform")
+    found = materialize(contexts(ranked.filter("not sure"), docs, length), "contexts")  # lets go of the shuffled texts
+    transform = materialize(compared(found, length), "transform")
+    discard(found)
     ranges = ranked.filter("sure").select("doc_id", "lo", "hi").union(transform.filter("round is null").select("doc_id", "lo", "hi"))
     per_doc = materialize(ranges.groupBy("doc_id").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his")), "ranges")
     discard(ranked, transform)
