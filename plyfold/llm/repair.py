@@ -50,7 +50,7 @@ class Encoder(dict):
 
     space = re.compile(r"\s")
     marks = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-    most = 400_000  # pieces, about 100 bytes each
+    most = 600_000  # pieces, about 100 bytes each
 
     def __init__(self, vocabulary: str):
         super().__init__()
