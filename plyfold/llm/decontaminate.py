@@ -103,12 +103,13 @@ def seeds(items: SimpleNamespace, w: np.ndarray, ends: np.ndarray, passes: np.nd
 
 
 def scored(docs: DataFrame, items: SimpleNamespace, n: int, threshold: float, slack: float) -> DataFrame:
-    """(doc_id, item_id, score, n_seeds) of the aligned pairs at or over the threshold; item_id is the item's name.
+    """(keys, item_id, score, n_seeds) of the aligned pairs at or over the threshold, from (keys, text); item_id is the item's name.
 
     Every gram that a row shares with an item is a seed. Diagonals at most `slack` of the item's length apart are aligned as one
     passage, unless the words it shares with the item are too few for the threshold in any order. The items travel as a broadcast.
     """
     sent = docs.sparkSession.sparkContext.broadcast(items)
+    kind = docs.drop("text").schema.add("item_id", "long").add("score", "double").add("n_seeds", "long")
 
     def run(batches):
         items, code = sent.value, Code()
@@ -139,7 +140,7 @@ def scored(docs: DataFrame, items: SimpleNamespace, n: int, threshold: float, sl
             return top / (MATCH * size)
 
         for b in batches:
-            found = [code(words(t)) for t in b.column(1).to_pylist()]
+            found = [code(words(t)) for t in b.column(b.num_columns - 1).to_pylist()]
             w, ends = np.concatenate(found) if found else np.empty(0, np.uint64), np.cumsum([len(x) for x in found], dtype=np.int64)
             row, item, diagonal = seeds(items, w, ends, passes)
             o = np.lexsort((diagonal, item, row))
@@ -151,10 +152,10 @@ def scored(docs: DataFrame, items: SimpleNamespace, n: int, threshold: float, sl
                 score = best(found[r], it, diagonal[i:j])
                 if score >= threshold:
                     out.append((r, items.names[it], score, j - i))
-            ids = b.column(0).take(pa.array([r for r, *_ in out], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array([x[i] for x in out], t) for i, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64())))], ["doc_id", "item_id", "score", "n_seeds"])
+            at = pa.array([r for r, *_ in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns[:-1]), *(pa.array([x[i] for x in out], t) for i, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64())))], kind.names)
 
-    return docs.mapInArrow(run, "doc_id long, item_id long, score double, n_seeds long")
+    return docs.mapInArrow(run, kind)
 
 
 def blocks(bench: DataFrame, n: int) -> Iterator[SimpleNamespace]:
@@ -173,7 +174,7 @@ def blocks(bench: DataFrame, n: int) -> Iterator[SimpleNamespace]:
         yield arrays(held, n)
 
 
-def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 5, threshold: float = 0.6, slack: float = 0.25) -> DataFrame:
+def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 5, threshold: float = 0.6, slack: float = 0.25, keys: list[str] | None = None) -> DataFrame:
     """(doc_id, item_id, score, n_seeds): passages of a row that align with a test item at `threshold` of the item's own score or more.
 
     Words are runs of letters, digits and underscores, in lower case, known by their 64-bit hashes. The score is the best local
@@ -181,13 +182,13 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     item of which they hold `n` words in a row (all words of a shorter item); n_seeds counts those places. Different texts under
     one item id, or under none, are items of their own, each reported with that id; null and empty texts match nothing; repeated
     rows are reported once for each. A row with a null doc_id is reported with it. Other columns are dropped; an empty table gives
-    an empty table. Whole texts of any length are searched.
+    an empty table. Whole texts of any length are searched. `keys` are columns to report instead of doc_id.
     """
-    docs = texts(df, id_col, text_col)
+    docs = texts(df, id_col, text_col) if keys is None else df.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bench = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     parts = [materialize(scored(docs, items, n, threshold, slack), "leaks") for items in blocks(bench, n)]
     if not parts:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, n_seeds long")
+        return docs.sparkSession.createDataFrame([], docs.drop("text").schema.add("item_id", "long").add("score", "double").add("n_seeds", "long"))
     while len(parts) > 1:  # a plan of few parts, however many blocks there are
         some, parts = parts[:50], parts[50:]
         out = some[0]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, discard, materialize, partitions, texts
+from .common import as_bytes, bounded_batches, discard, materialize, partitions, texts
 from .components import components
 from .decontaminate import Code, gram_hashes
 
@@ -73,8 +73,8 @@ def masks(blocks: int, same: int) -> list[int]:
 def plan(n: int, radius: int) -> list[int]:
     """The cheapest exact set of masks for n fingerprints: of b blocks at most `radius` hold a difference, so b - radius agree."""
 
-    def cost(b: int) -> float:
-        return comb(b, radius) * n * (1 + 0.005 * n / 2 ** (BITS * (b - radius) / b))
+    def cost(b: int) -> float:  # of a row, and of its pairs in a bucket: 64 of these are compared at once, so each is far cheaper
+        return comb(b, radius) * n * (1 + 0.0005 * n / 2 ** (BITS * (b - radius) / b))
 
     b = min(range(radius + 1, radius + 7), key=cost)
     return masks(b, b - radius)
@@ -225,25 +225,40 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 8) -> DataFrame:
-    """(doc_id, component_id) for every row: texts whose SimHashes of `words`-word shingles agree in `similarity` of 128 bits share a component.
+def copy_groups(df: DataFrame, keys: list[str], text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 8) -> DataFrame:
+    """(keys, __group long) for every row of df: texts whose SimHashes of `words`-word shingles agree in `similarity` of 128 bits share a group.
 
     128 bits can't be searched at the distance that edited copies have. So a pair must also be within `radius` on 64 bits of
     two-word shingles, which an edit changes less; that search is exact, and texts that differ in both are told apart by 192 bits
     in all. Words are those of fingerprint(). Null text is empty text; texts without words are equal. Repeated rows come back
-    repeated. A row without doc_id links nothing; its component is that of its fingerprints, or null if no row with these has an
-    id. Other columns are dropped. An empty table gives an empty table.
+    repeated, an empty table gives an empty table, null keys stay. Each mask of plan() copies a row's fingerprints once: 9 copies
+    up to about a million different texts, more beyond it.
     """
-    kind = "doc_id long, fp long, b long, c long"
+    bounded_batches(df.sparkSession)
+    kind = df.select(*keys).schema
+    for name in ("__fp", "__b", "__c"):
+        kind = kind.add(name, "long")
 
     def run(batches):
         code = Code()
         for batch in batches:
-            fps = np.array([three_prints(code(t.lower().split()), words) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, 3).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in fps.T.copy())], ["doc_id", "fp", "b", "c"])
-
-    fps = materialize(as_bytes(texts(df, id_col, text_col)).mapInArrow(run, kind), "fingerprints")
-    reps = materialize(fps.groupBy("fp", "b", "c").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
-    joined = components(links(reps.filter("rep is not null").select("rep", "fp", "b", "c"), radius, most=int((1 - similarity) * 2 * BITS)))
-    named = reps.join(joined, F.col("rep") == F.col("node"), "left").select("fp", "b", "c", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, ["fp", "b", "c"], "left").select("doc_id", "component_id")
+            fps = np.array([three_prints(code(t.lower().split()), words) for t in batch.column(batch.num_columns - 1).to_pylist()], np.uint64).reshape(-1, 3).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(x) for x in fps.T.copy())], kind.names)
+
+    src = df.select(*keys, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__text"))
+    fps = materialize(src.mapInArrow(run, kind), "fingerprints")
+    reps = fps.select(F.col("__fp").alias("fp"), F.col("__b").alias("b"), F.col("__c").alias("c")).distinct()
+    reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "distinct-fingerprints")
+    joined = components(links(reps.select("rep", "fp", "b", "c"), radius, most=int((1 - similarity) * 2 * BITS)))
+    named = reps.join(joined, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("__fp"), F.col("b").alias("__b"), F.col("c").alias("__c"), F.coalesce("component", "rep").alias("__group"))
+    return fps.join(named, ["__fp", "__b", "__c"]).select(*keys, "__group")
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 8) -> DataFrame:
+    """(doc_id, component_id) for every row: the groups of copy_groups(), named by their smallest doc_id; null if no row of one has an id.
+
+    Other columns are dropped.
+    """
+    groups = materialize(copy_groups(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"], "text", words, similarity, radius), "copy-groups")
+    names = groups.groupBy("__group").agg(F.min("doc_id").alias("component_id"))
+    return groups.join(names, "__group").select("doc_id", "component_id")
