@@ -18,29 +18,41 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, model, keep=docs.columns).filter(F.col("score") >= THRESHOLD).select(*docs.columns)
 
 
-def numbered(docs: DataFrame, label: str) -> DataFrame:
-    """docs and a column __row, a number of its own for every row, stored so that it stays the same."""
-    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), label)
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs and a column __hash; rows with one doc_id (or none) and one __hash are equal."""
+    return docs.withColumn("__hash", F.xxhash64(*docs.columns))
+
+
+def without(rows: DataFrame, gone: DataFrame, how: str = "left_anti") -> DataFrame:
+    """Rows of keyed() whose (doc_id, __hash) is not in `gone`, null ids being equal."""
+    keys = gone.select(F.col("doc_id").alias("__id"), F.col("__hash").alias("__h")).distinct()
+    return rows.join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), how)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate component: that with the smallest doc_id, null last; equal ids are told apart by a hash of the row.
+    """One row of each near-duplicate group: that with the smallest doc_id, null last; equal ids are told apart by a hash of the row.
 
-    Near duplicates agree in 0.8 of 128 SimHash bits of five-word shingles. Components are those of rows: repeated rows and rows
-    without doc_id are grouped like all others, and so are rows without words.
+    Near duplicates agree in 0.8 of 128 SimHash bits of five-word shingles. Repeated rows and rows without doc_id are grouped like
+    all others, and so are rows without words. Only keys are moved to find the groups; the texts of rows that go are left behind.
     """
-    rows = numbered(docs, "rows")
-    groups = simhash.near_copies(rows, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "__row")
-    first = rows.select("__row", order.alias("order")).join(groups, "__row").groupBy("component_id").agg(F.min("order").alias("order"))
-    return rows.join(first.select("order.__row"), "__row", "left_semi").select(*docs.columns)
+    rows = keyed(docs)
+    met = simhash.copy_groups(rows, ["doc_id", "__hash"]).groupBy("__group", "doc_id", "__hash").agg(F.count("*").alias("n"))
+    met = materialize(met, "group-keys")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__hash")
+    first = met.groupBy("__group").agg(F.min(order).alias("first"))
+    marked = met.join(first, "__group").withColumn("stays", order == F.col("first"))
+    marked = materialize(marked.filter("not stays or n > 1").select("doc_id", "__hash", "stays"), "group-marks")
+    left, twice = without(rows, marked.filter("not stays")), marked.filter("stays")
+    if not twice.isEmpty():  # equal rows: one of them
+        left = without(left, twice).unionByName(without(left, twice, "left_semi").dropDuplicates(["doc_id", "__hash"]))
+    return left.select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a passage of the benchmark, with a doc_id or without."""
-    rows = numbered(docs, "rows")
-    leaks = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), id_col="__row")
-    return rows.join(leaks.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").select(*docs.columns)
+    rows = keyed(docs)
+    leaks = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), keys=["doc_id", "__hash"])
+    return without(rows, leaks).select(*docs.columns)
 
 
 def pseudonymized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
