@@ -74,7 +74,7 @@ def plan(n: int, radius: int) -> list[int]:
     """The cheapest exact set of masks for n fingerprints: of b blocks at most `radius` hold a difference, so b - radius agree."""
 
     def cost(b: int) -> float:  # of a row, and of its pairs in a bucket: 64 of these are compared at once, so each is far cheaper
-        return comb(b, radius) * n * (1 + 0.0005 * n / 2 ** (BITS * (b - radius) / b))
+        return comb(b, radius) * n * (1 + 0.002 * n / 2 ** (BITS * (b - radius) / b))
 
     b = min(range(radius + 1, radius + 7), key=cost)
     return masks(b, b - radius)
@@ -88,17 +88,25 @@ def planes(fp: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
+def added(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Carry-save addition of three planes: the ones and the twos of every column."""
+    u = a ^ b
+    return u ^ c, (a & b) | (u & c)
+
+
 def within(p: np.ndarray, d: int, valid: np.ndarray, radius: int) -> np.ndarray:
     """Places i (of those set in `valid`) where fingerprints i and i + d differ in at most `radius` bits.
 
-    Differences are added plane by plane into carry-save counters of as many bits as the radius needs, with one more bit that
-    stays set on overflow; after every eighth plane, words in which every distance is over the radius are given up.
+    Differences are added eight planes at a time by carry-save adders, and their sum to counters of as many bits as the radius
+    needs, with one more bit that stays set on overflow; after that, words in which every distance is over the radius are given up.
     """
     live = np.flatnonzero(valid)
     top = (radius + 1).bit_length()
     count = [np.zeros(len(live), np.uint64) for _ in range(top)]
     over, w, b = ~valid[live], *divmod(d, 64)
-    last, width = np.uint64(64 - b) if b else None, p.shape[1]
+    right, left = np.uint64(b), np.uint64(64 - b) if b else None
+    if p.shape[1] < len(valid) + w + 1:
+        p = np.pad(p, ((0, 0), (0, w + 1)))  # what lies beyond the last fingerprint is not valid
 
     def beyond() -> np.ndarray:
         """Bits whose count is over the radius: compared from the highest counter bit on."""
@@ -111,23 +119,34 @@ def within(p: np.ndarray, d: int, valid: np.ndarray, radius: int) -> np.ndarray:
                 same &= ~count[k]
         return more
 
-    for j in range(BITS):
-        lo, hi = live + w, live + w + 1
-        x = np.where(lo < width, p[j][np.minimum(lo, width - 1)], np.uint64(0)) >> np.uint64(b)
+    for j in range(0, BITS, 8):
+        part, lo = p[j : j + 8], live + w
+        x = part.take(lo, axis=1)
         if b:
-            x |= np.where(hi < width, p[j][np.minimum(hi, width - 1)], np.uint64(0)) << last
-        carry = p[j][live] ^ x
-        for k in range(top):
+            x >>= right
+            x |= part.take(lo + 1, axis=1) << left
+        x ^= part.take(live, axis=1)
+        one, two = added(x[0], x[1], x[2])
+        one_b, two_b = added(x[3], x[4], x[5])
+        one, two_c = added(one, one_b, x[6])
+        one, two_d = one ^ x[7], one & x[7]
+        two, four = added(two, two_b, two_c)
+        two, four_b = two ^ two_d, two & two_d
+        carry = np.zeros(len(live), np.uint64)
+        for k, bits in enumerate((one, two, four ^ four_b, four & four_b)):
+            if k < top:
+                count[k], carry = added(count[k], bits, carry)
+            else:
+                over |= bits
+        for k in range(4, top):
             count[k], carry = count[k] ^ carry, count[k] & carry
         over |= carry
-        if j % 8 == 7:
-            over |= beyond()
-            keep = over != ALL
-            if not keep.any():
-                return np.empty(0, np.int64)
-            if keep.mean() < 0.7:
-                live, over, count = live[keep], over[keep], [c[keep] for c in count]
-    over |= beyond()
+        over |= beyond()
+        keep = over != ALL
+        if not keep.any():
+            return np.empty(0, np.int64)
+        if j + 8 < BITS and keep.mean() < 0.7:
+            live, over, count = live[keep], over[keep], [c[keep] for c in count]
     word, bit = np.nonzero(np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
     return live[word] * 64 + bit
 
@@ -144,11 +163,13 @@ def local_links(group: np.ndarray, fp: np.ndarray, radius: int, more: list[np.nd
     end = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, n)
     left = np.repeat(end, np.diff(np.append(0, end))) - np.arange(n)  # rows of the group from this one on
     p, d = planes(fp), 1
+    size = p.shape[1] * 64
+    p = np.pad(p, ((0, 0), (0, p.shape[1] + 1)))
     while True:
         ok = left > d
         if not ok.any():
             break
-        bits = np.zeros(p.shape[1] * 64, np.uint8)
+        bits = np.zeros(size, np.uint8)
         bits[:n] = ok
         i = within(p, d, np.packbits(bits, bitorder="little").view("<u8"), radius)
         if more:

@@ -130,7 +130,7 @@ def test_near_copies_edges(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.near_copies(same).collect()) == [(-1, -1), (-1, 7), (3, 3), (7, 7), (9, 7), (9, 7)]
 
 
-@pytest.mark.parametrize("radius", [0, 1, 2, 3, 4, 7])
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 4, 7, 8, 15, 20])
 def test_bit_sliced_distances(radius):
     rng = np.random.default_rng(radius)
     fp = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
