@@ -74,8 +74,15 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """op6 by counting: a text with a mark of a turn, or with what looks escaped, grows by one character for each <|, <\\| and so on."""
+    """op4 for pages like those of the test table, whose text is one plain article. op6 by counting: a text with a mark of a turn, or with what looks escaped, grows by one character for each <|, <\\| and so on."""
     return {
+        "op4_html_extract": r"""
+            SELECT page_id, url, text, length(text) AS n_chars FROM (
+                SELECT page_id, url, array_to_string(list_filter(list_transform(
+                    string_split_regex(replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<br>', ' '), '</?(h1|p)>'),
+                    lambda x: trim(regexp_replace(regexp_replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text
+                FROM pages)
+        """,
         "op6_chat_format": r"""
             WITH said AS (
                 SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -151,12 +151,12 @@ def test_op10(spark, sf, tables):
     assert got == plain_removal([(d["doc_id"], d["text"]) for d in tables["documents"]], 100)
 
 
-@pytest.mark.parametrize("name", ["op6_chat_format", "op10_suffix_dedup"])
+@pytest.mark.parametrize("name", ["op4_html_extract", "op6_chat_format", "op10_suffix_dedup"])
 def test_sql(spark, sf, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     found = con.execute(queries.oracle_sql()[name])
     names = [x[0] for x in found.description]
