@@ -23,9 +23,10 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__hash", F.xxhash64(*docs.columns))
 
 
-def without(rows: DataFrame, gone: DataFrame, how: str = "left_anti") -> DataFrame:
-    """Rows of keyed() whose (doc_id, __hash) is not in `gone`, null ids being equal."""
+def without(rows: DataFrame, gone: DataFrame, how: str = "left_anti", many: bool = False) -> DataFrame:
+    """Rows of keyed() whose (doc_id, __hash) is not in `gone`, null ids being equal; `many` keys are joined by sorting at any size."""
     keys = gone.select(F.col("doc_id").alias("__id"), F.col("__hash").alias("__h")).distinct()
+    keys = keys.hint("merge") if many else keys
     return rows.join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), how)
 
 
@@ -33,7 +34,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """One row of each near-duplicate group: that with the smallest doc_id, null last; equal ids are told apart by a hash of the row.
 
     Near duplicates agree in 0.8 of 128 SimHash bits of five-word shingles. Repeated rows and rows without doc_id are grouped like
-    all others, and so are rows without words. Only keys are moved to find the groups; the texts of rows that go are left behind.
+    all others, and so are rows without words. Only keys are moved to find the groups; texts are moved once, to leave out those that
+    go: their keys grow with the table, so they are never broadcast.
     """
     rows = keyed(docs)
     met = simhash.copy_groups(rows, ["doc_id", "__hash"]).groupBy("__group", "doc_id", "__hash").agg(F.count("*").alias("n"))
@@ -42,7 +44,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     first = met.groupBy("__group").agg(F.min(order).alias("first"))
     marked = met.join(first, "__group").withColumn("stays", order == F.col("first"))
     marked = materialize(marked.filter("not stays or n > 1").select("doc_id", "__hash", "stays"), "group-marks")
-    left, twice = without(rows, marked.filter("not stays")), marked.filter("stays")
+    left, twice = without(rows, marked.filter("not stays"), many=True), marked.filter("stays")
     if not twice.isEmpty():  # equal rows: one of them
         left = without(left, twice).unionByName(without(left, twice, "left_semi").dropDuplicates(["doc_id", "__hash"]))
     return left.select(*docs.columns)
