@@ -85,6 +85,14 @@ def field_types(df: DataFrame, json: str = "j") -> DataFrame:
     return kinds.select("signature", "field", F.when(F.size("kinds") == 0, "null").when(F.size("kinds") > 1, "mixed").otherwise(F.get("kinds", F.lit(0))).alias("type"))
 
 
+def schemas(df: DataFrame, json: str = "j", path: str = "path") -> DataFrame:
+    """(signature, n_keys, frequency, path, rank, short_name, full_name, fields array<struct<field, type>>) of all shapes at any depth."""
+    met = materialize(values(df, json, path), "values")
+    found = materialize(shapes(met), "shapes")
+    fields = field_types(met).groupBy("signature").agg(F.sort_array(F.collect_list(F.struct("field", "type"))).alias("fields"))
+    return found.join(named(found), "signature").join(fields, "signature")
+
+
 def nested(df: DataFrame, json: str = "j") -> DataFrame:
     """(parent, field, nested): fields that hold an object of one and the same shape in every instance of the parent's shape."""
     keys = df.select(signature(F.col(json)).alias("parent"), F.explode(F.from_json(F.col(json), "map<string,string>")).alias("field", "value"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import dictionary
-from ..sources.render import lines, measure
+from ..sources.render import FORMATS, against, lines, measure
+from ..tables import materialize
 from .document import Options, encode
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)
@@ -78,6 +79,17 @@ def level_sizes(df: DataFrame, order_by: str) -> DataFrame:
     return out
 
 
+def compare_all(df: DataFrame, order_by: str) -> DataFrame:
+    """(format, chars, tokens, pct, share) of the renderings, the documents of levels 1 to 3, and auto, the shortest of these."""
+    levels = level_sizes(df, order_by).filter("level > 0").select(F.concat(F.lit("level"), F.col("level").cast("string")).alias("format"), "chars", "tokens")
+    levels = materialize(levels, "level-sizes")  # three rows
+    best = levels.agg(F.min(F.struct("chars", "format", "tokens")).alias("b")).select(F.lit("auto").alias("format"), "b.chars", "b.tokens")
+    rows = levels.unionByName(best)
+    for f in FORMATS:
+        rows = rows.unionByName(measure(df, f))
+    return against(rows, "json")
+
+
 def auto_level(df: DataFrame, order_by: str, table: str = "table") -> DataFrame:
     """(table, best, chars): the shortest of JSON (0) and levels 1 to 3; the lower wins a tie. JSON is out if a column holds numbers over 18 digits."""
     wide = any(isinstance(f.dataType, T.DecimalType) and f.dataType.precision > 18 for f in df.schema.fields)

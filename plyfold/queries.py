@@ -16,7 +16,7 @@ from .operators.ordering import with_ordinal
 from .plans import advisor, document, foreign, matrix
 from .sources import presets, render
 from .streaming import stream
-from .tables import shared_dir
+from .tables import materialize, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,6 +67,13 @@ def shape_field_types(spark, d):
     return shapes.field_types(_json_rows(spark, d))
 
 
+@query(f"""SELECT s.signature, s.n_keys, s.frequency, s.path, n.rank, n.short_name, n.full_name, f.fields FROM ({SHAPE_SQL}) s JOIN ({SQL['shape_names']}) n ON s.signature = n.signature
+    JOIN (SELECT signature, string_agg(field || ':' || type, ' ' ORDER BY field) AS fields FROM ({SQL['shape_field_types']}) GROUP BY signature) f ON s.signature = f.signature""")
+def shape_schemas(spark, d):
+    fields = F.array_join(F.transform("fields", lambda f: F.concat(f["field"], F.lit(":"), f["type"])), " ")
+    return shapes.schemas(_json_rows(spark, d)).withColumn("fields", fields)
+
+
 @query("""WITH t AS (SELECT to_json({'o_orderkey': o_orderkey, 'customer': {'c_custkey': c_custkey, 'c_name': c_name}}) AS j FROM orders JOIN customer ON o_custkey = c_custkey)
     , k AS (SELECT array_to_string(list_sort(json_keys(j)), ',') AS parent, unnest(json_keys(j)) AS field, j FROM t)
     , n AS (SELECT parent, field, CASE WHEN json_type(j, '$.' || field) = 'OBJECT' THEN array_to_string(list_sort(json_keys(j, '$.' || field)), ',') END AS inner_sig FROM k)
@@ -493,6 +500,13 @@ def compare_tokens(spark, d):
     return render.compare(T(spark, d, "nation"))
 
 
+@query(f"""WITH s AS (SELECT 'level' || level AS format, chars, tokens FROM ({_sizes_sql('nation')}) WHERE level > 0)
+    , r AS (SELECT * FROM s UNION ALL SELECT 'auto', min(chars), arg_min(tokens, (chars, format)) FROM s UNION ALL SELECT * FROM ({_compare_sql()}))
+    SELECT format, chars, tokens, (tokens - base) * 100.0::DOUBLE / base AS pct, tokens::DOUBLE / most AS share FROM (SELECT *, max(tokens) OVER () AS most, max(tokens) FILTER (format = 'json') OVER () AS base FROM r)""")
+def compare_levels(spark, d):
+    return advisor.compare_all(T(spark, d, "nation"), "n_nationkey")
+
+
 @query("SELECT count(*) AS declared, count(*) AS actual, true AS ok FROM nation")
 def cardinality_guard(spark, d):
     """What the document of a table declares, against its rows."""
@@ -529,7 +543,7 @@ def roundtrip_l3_uuids(spark, d):
     e = document.encode(T(spark, d, "customer").select(F.col("c_custkey").alias("id"), u.alias("u"), F.col("c_name").alias("name")), "id", level=3)
     if e.plan.codecs["u"] != "uuid":
         raise ValueError("the column is not taken as UUIDs")
-    return document.decode(e.lines)
+    return _through(e)
 
 
 def _places(spark, d):
@@ -547,7 +561,7 @@ def inline_text(spark, d):
 
 @query("SELECT c_custkey, c_name AS name, c_nationkey AS nation, c_mktsegment AS tag FROM customer")
 def inline_roundtrip(spark, d):
-    back = document.decode(document.encode(_places(spark, d), "c_custkey", level=2, block_rows=5000).lines)
+    back = _through(document.encode(_places(spark, d), "c_custkey", level=2, block_rows=5000))
     return back.select("c_custkey", "place.name", "place.nation", F.get("place.tags", F.lit(0)).alias("tag"))
 
 
@@ -603,9 +617,16 @@ def _documents(level: int):
     return lines
 
 
+def _through(e: document.Encoded) -> DataFrame:
+    """The table of a document that is written first, as a document is, and then read."""
+    lines = materialize(e.lines, "lines")
+    e.discard()
+    return document.decode(lines)
+
+
 def _roundtrip(table: str, key: str, level: int):
     def back(spark, d):
-        return document.decode(document.encode(T(spark, d, table), key, level=level, block_rows=5000).lines)
+        return _through(document.encode(T(spark, d, table), key, level=level, block_rows=5000))
 
     return back
 

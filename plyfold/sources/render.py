@@ -59,11 +59,16 @@ def measure(df: DataFrame, fmt: str) -> DataFrame:
     return total.select(F.lit(fmt).alias("format"), (F.col("c") + gaps * len(between) + F.length(head)).cast("long").alias("chars"), (F.col("t") + gaps * len(between) + estimate_tokens(head)).cast("long").alias("tokens"))
 
 
+def against(rows: DataFrame, baseline: str) -> DataFrame:
+    """(format, chars, tokens) with pct, tokens against the baseline in per cent, and share, against the largest; few rows."""
+    base = F.max(F.when(F.col("format") == baseline, F.col("tokens")))
+    most = rows.agg(base.alias("base"), F.max("tokens").alias("most"))
+    return rows.crossJoin(F.broadcast(most)).select("format", "chars", "tokens", ((F.col("tokens") - F.col("base")) * 100.0 / F.col("base")).alias("pct"), (F.col("tokens") / F.col("most")).alias("share"))
+
+
 def compare(df: DataFrame, formats: tuple[str, ...] = FORMATS, baseline: str = "json") -> DataFrame:
-    """(format, chars, tokens, pct, share): tokens against the baseline in per cent, and against the largest."""
+    """(format, chars, tokens, pct, share) of the renderings."""
     rows = measure(df, formats[0])
     for f in formats[1:]:
         rows = rows.unionByName(measure(df, f))
-    base = F.max(F.when(F.col("format") == baseline, F.col("tokens")))
-    most = rows.agg(base.alias("base"), F.max("tokens").alias("most"))
-    return rows.crossJoin(F.broadcast(most)).select("format", "chars", "tokens", ((F.col("tokens") - F.col("base")) * 100.0 / F.col("base")).alias("pct"), (F.col("tokens") / F.col("most")).alias("share"))
+    return against(rows, baseline)
