@@ -252,8 +252,8 @@ def copy_groups(df: DataFrame, keys: list[str], text_col: str = "text", words: i
     128 bits can't be searched at the distance that edited copies have. So a pair must also be within `radius` on 64 bits of
     two-word shingles, which an edit changes less; that search is exact, and texts that differ in both are told apart by 192 bits
     in all. Words are those of fingerprint(). Null text is empty text; texts without words are equal. Repeated rows come back
-    repeated, an empty table gives an empty table, null keys stay. Each mask of plan() copies a row's fingerprints once: 9 copies
-    up to about a million different texts, more beyond it.
+    repeated, an empty table gives an empty table, null keys stay. Each mask of plan() copies the fingerprints of a text once: 9 copies
+    up to some 280,000 different texts, 45 up to ten million, more beyond.
     """
     bounded_batches(df.sparkSession)
     kind = df.select(*keys).schema
