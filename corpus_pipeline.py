@@ -40,10 +40,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows = keyed(docs)
     met = simhash.copy_groups(rows, ["doc_id", "__hash"]).groupBy("__group", "doc_id", "__hash").agg(F.count("*").alias("n"))
     met = materialize(met, "group-keys")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__hash")
-    first = met.groupBy("__group").agg(F.min(order).alias("first"))
-    marked = met.join(first, "__group").withColumn("stays", order == F.col("first"))
-    marked = materialize(marked.filter("not stays or n > 1").select("doc_id", "__hash", "stays"), "group-marks")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("__id"), F.col("__hash").alias("__h"))
+    first = met.groupBy("__group").agg(F.min(order).alias("first")).select("first.__id", "first.__h", F.lit(True).alias("stays"))
+    # joined by row key and not by group, as one group may hold a great share of all rows
+    marked = met.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left")
+    marked = marked.select("doc_id", "__hash", "n", F.coalesce("stays", F.lit(False)).alias("stays"))
+    marked = materialize(marked.filter("not stays or n > 1"), "group-marks")
     left, twice = without(rows, marked.filter("not stays"), many=True), marked.filter("stays")
     if not twice.isEmpty():  # equal rows: one of them
         left = without(left, twice).unionByName(without(left, twice, "left_semi").dropDuplicates(["doc_id", "__hash"]))
