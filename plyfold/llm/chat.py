@@ -76,7 +76,15 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     head = F.lit(len(START) + 1 + len("\n")) + F.length("wrole")
     turn = F.struct("turn", "role", "text", "line", (F.col("role") == masked_role).alias("masked"), head.alias("head"), F.length("wtext").alias("chars"))
     conv = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    ends = F.expr("aggregate(turns, named_struct('at', 0L, 'spans', cast(array() as array<struct<start: bigint, length: bigint>>)), (s, t) -> named_struct('at', s.at + length(t.line), 'spans', if(t.masked, concat(s.spans, array(named_struct('start', s.at + t.head, 'length', cast(t.chars as bigint)))), s.spans)), s -> s.spans)")
+    ends = F.expr("""
+        aggregate(
+            turns,
+            named_struct('at', 0L, 'spans', cast(array() as array<struct<start: bigint, length: bigint>>)),
+            (s, t) -> named_struct(
+                'at', s.at + length(t.line),
+                'spans', if(t.masked, concat(s.spans, array(named_struct('start', s.at + t.head, 'length', cast(t.chars as bigint)))), s.spans)),
+            s -> s.spans)
+    """)
     lines = F.array_join(F.transform("turns", lambda t: t["line"]), "")
     return conv.select("conv_id", lines.alias("formatted"), F.size("turns").cast("long").alias("n_turns"), ends.alias("loss_spans"))
 
@@ -87,4 +95,11 @@ def digests(chats: DataFrame) -> DataFrame:
     said = F.transform(F.col("loss_spans"), lambda s: unescape(F.substring(F.col("formatted"), s["start"].cast("int"), s["length"].cast("int"))))
     read = chats.select("conv_id", turns.alias("turns"), F.array_join(said, "").alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(spoken.cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(spoken.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        "formatted_chars",
+    )

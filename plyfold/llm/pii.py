@@ -178,7 +178,26 @@ def pseudonym(key: str, m: str = "m") -> str:
     plain = f"regexp_replace({local}, '[^A-Za-z0-9]', '')"
     spot = f"length(regexp_replace(left({local}, i + 1), '[^A-Za-z0-9]', ''))"
     email = f"transform(array({letters(key, plain)}), q -> concat(array_join(transform(split({local}, ''), (c, i) -> if(c rlike '[A-Za-z0-9]', substr(q, {spot}, 1), c)), ''), substr({m}, length({local}) + 1)))[0]"
-    made = {"email": email, "ipv4": ipv4, "iso_date": date("yyyy-MM-dd"), "day_date": date("dd/MM/yyyy"), "slash_date": slash, "dot_date": dot, "year_date": date("yyyy/MM/dd"), "month_date": month, "day_month": day_month, "iban": iban, "ipv6": six, "ssn": ssn, "phone": phone, "phone_e164": phone, "phone_trunk": trunk, "phone_abroad": abroad, "card": card, "phone_spaced": phone}
+    made = {
+        "email": email,
+        "ipv4": ipv4,
+        "iso_date": date("yyyy-MM-dd"),
+        "day_date": date("dd/MM/yyyy"),
+        "slash_date": slash,
+        "dot_date": dot,
+        "year_date": date("yyyy/MM/dd"),
+        "month_date": month,
+        "day_month": day_month,
+        "iban": iban,
+        "ipv6": six,
+        "ssn": ssn,
+        "phone": phone,
+        "phone_e164": phone,
+        "phone_trunk": trunk,
+        "phone_abroad": abroad,
+        "card": card,
+        "phone_spaced": phone,
+    }
     return "case " + " ".join(f"when {whole[k]} then {made[k]}" for k in made) + f" else {m} end"
 
 
