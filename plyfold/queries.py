@@ -532,8 +532,9 @@ def message_compress(spark, d):
     """Messages that hold JSON: one for each nation's customers, written as documents and read back."""
     rows = F.to_json(F.sort_array(F.collect_list(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")))))
     sent = T(spark, d, "customer").groupBy("c_nationkey").agg(rows.alias("j")).withColumn("sent", foreign.json_documents(F.col("j")))
+    sent = sent.select("c_nationkey", "sent", (F.length("sent") < F.length("j")).alias("shorter"))  # before the rows part, or each would carry and measure its message
     back = F.from_json(foreign.documents_json(F.col("sent")), "array<struct<id:bigint,name:string,segment:string>>")
-    return sent.select(F.col("c_nationkey").alias("nation"), F.explode(back).alias("r"), (F.length("sent") < F.length("j")).alias("shorter")).select("nation", "r.id", "r.name", "r.segment", "shorter")
+    return sent.select(F.col("c_nationkey").alias("nation"), F.explode(back).alias("r"), "shorter").select("nation", "r.id", "r.name", "r.segment", "shorter")
 
 
 @query(f"SELECT c_custkey AS id, {UUID_SQL} AS u, c_name AS name FROM (SELECT *, md5(c_custkey::VARCHAR) AS h FROM customer)")

@@ -88,6 +88,55 @@ def test_messages_come_back(value):
     assert json_document("no json") == "no json"
 
 
+def test_messages_of_many_rows(spark, tmp_path):
+    """No row read back carries the message it came in, or a message of n rows would be measured n times; and each is written and read once."""
+    from plyfold.queries import QUERIES
+
+    odd = ['Ann, "A"', "a (b) [c] {d}", "tab\tline\n", "true", "-", "", "12", "\u00e9\\", None, " x ", "~", "$0"]
+    rows = [(i, f"Customer#{i:09d}", i % 2, "BUILDING") for i in range(4000)] + [(5000 + i, x, 2, "MACHINERY") for i, x in enumerate(odd)] + [(6000, "Ada", None, "x")]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    df = QUERIES["message_compress"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate explode", 1)
+    assert "length(" not in above and "length(" in below and plan.count("ArrowEvalPython") == 2
+    got = df.collect()
+    assert sorted((r.id, r.name, r.nation, r.segment) for r in got) == rows and all(r.shorter for r in got if r.nation in (0, 1))
+
+
+def test_cut_and_depth_by_characters():
+    import random
+
+    from plyfold.functions import inline
+    from plyfold.plans.foreign import cut
+
+    def plain_cut(line, sep):
+        out, i, start, level = [], 0, 0, 0
+        while i < len(line):
+            if line[i] == '"' and (level or not line[start:i].strip()):
+                i = inline.quote_end(line, i) + 1
+            elif not level and line.startswith(sep, i):
+                out.append(line[start:i].strip())
+                i = start = i + len(sep)
+            else:
+                level += (line[i] in "[{(") - (line[i] in ")}]")
+                i += 1
+        return [*out, line[start:].strip()]
+
+    def plain_depth(text):
+        at = most = i = 0
+        while i < len(text):
+            end = inline.quote_end(text, i) if text[i] == '"' else i
+            i = end if end < len(text) else i  # a quote without an end is passed over
+            at += (text[i] in "([{") - (text[i] in ")]}")
+            most, i = max(most, at), i + 1
+        return most
+
+    r = random.Random(7)
+    for k in range(4000):
+        line = "".join(r.choices('ab ,,\t' if k % 2 else 'a ,"[](){}\t', k=r.randrange(25)))
+        assert cut(line, ", ") == plain_cut(line, ", ") and cut(line, "\t") == plain_cut(line, "\t") and depth(line) == plain_depth(line)
+
+
 # command line
 @pytest.mark.parametrize("level", ["auto", "1", "2", "3"])
 @pytest.mark.parametrize("data", [[{"id": i, "name": f"user {i}", "dept": "Sales", "ok": i % 2 == 0} for i in range(12)], {"id": 1, "name": "Ada", "tags": ["x", "y"], "home": {"city": "Paris", "n": None}}, [{"a": 1}]])
